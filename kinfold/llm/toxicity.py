@@ -29,10 +29,10 @@ HELD_OUT_MOD, HELD_OUT_IS = 3, 1
 PREDICT_AT = 0.7
 #: Bytes of the stems that are tried beside whole words.
 STEMS = (4, 5, 6)
-#: A learned insult needs this many contexts in toxic documents ...
-MIN_CONTEXTS = 8
-#: ... and so many times their share among the contexts of clean ones.
-MIN_RATIO = 30.0
+#: A learned insult needs this many contexts in toxic documents, and a share of toxic contexts that
+#: chance gives to less than ERROR of all features tried (Chernoff bound, Bonferroni correction).
+MIN_CONTEXTS = 4
+ERROR = 0.01
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -201,11 +201,13 @@ def learn_insults(contexts: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndar
     feature, toxic = counts[1]
     if not len(feature):
         return np.zeros(0, np.uint64)
-    total = [max(1, counts[y][1].sum()) for y in (0, 1)]
+    base = counts[1][1].sum() / max(1, counts[0][1].sum() + counts[1][1].sum())
     i = np.minimum(np.searchsorted(counts[0][0], feature), max(0, len(counts[0][0]) - 1))
     clean = np.where(counts[0][0][i] == feature, counts[0][1][i], 0) if len(counts[0][0]) else np.zeros(len(feature))
-    ratio = (toxic / total[1]) / ((clean + 0.5) / total[0])
-    return feature[(toxic >= MIN_CONTEXTS) & (ratio >= MIN_RATIO) & (clean <= 0.1 * toxic)]
+    share = toxic / (toxic + clean)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        far = toxic * np.log(share / base) + np.where(clean > 0, clean * np.log((1 - share) / max(1 - base, 1e-9)), 0.0)
+    return feature[(toxic >= MIN_CONTEXTS) & (clean <= 0.05 * toxic) & (far >= np.log(len(feature) / ERROR))]
 
 
 def calibrate(weight: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
