@@ -144,10 +144,14 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = word_label == y
             f = np.concatenate([x[at] for x in feats])
             c = (np.tile(context[at], len(feats)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            keep = f != 0
-            pair = np.unique(np.rec.fromarrays([f[keep], c[keep]], names="f,c")) if keep.any() else None
-            if pair is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([pair.f.tobytes()], pa.binary()), pa.array([pair.c.tobytes()], pa.binary())], ["label", "f", "c"])
+            w = np.tile(feats[0][at], len(feats))
+            order = np.lexsort((c, w, f))
+            order = order[f[order] != 0]
+            f, c, w = f[order], c[order], w[order]
+            if len(f):
+                new = np.ones(len(f), bool)
+                new[1:] = (f[1:] != f[:-1]) | (w[1:] != w[:-1]) | (c[1:] != c[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), *(pa.array([x[new].tobytes()], pa.binary()) for x in (f, c, w))], ["label", "f", "c", "w"])
 
 
 @dataclass(frozen=True)
@@ -186,28 +190,40 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.bias + self.slope * np.log1p(weight), -40, 40)))
 
 
-def learn_insults(contexts: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Features with many contexts in toxic documents and few in clean ones."""
-    counts = {}
+def learn_insults(contexts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Sorted hashes of the words, and then of the stems, that belong to toxic documents.
+
+    contexts: label, and features, contexts and whole words of a part of the sample.  A stem counts
+    only by words that aren't learned as such, or the stem of an insult would catch other words.
+    """
+    parts = {}
     for y in (0, 1):
-        parts = [(f, c) for k, f, c in contexts if k == y]
-        f = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
-        c = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint32)
+        own = [p[1:] for p in contexts if p[0] == y]
+        parts[y] = [np.concatenate([p[i] for p in own]) if own else np.zeros(0, np.uint32 if i == 1 else np.uint64) for i in range(3)]
+    words = _beyond_chance(*((f[f == w], c[f == w]) for f, c, w in (parts[0], parts[1])))
+    rest = [(f != w) & ~_found(w, words) for f, _, w in (parts[0], parts[1])]
+    stems = _beyond_chance(*((f[m], c[m]) for (f, c, _), m in zip((parts[0], parts[1]), rest, strict=True)))
+    return np.union1d(words, stems)
+
+
+def _beyond_chance(clean: tuple[np.ndarray, np.ndarray], toxic: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    counts = []
+    for f, c in (clean, toxic):
         order = np.lexsort((c, f))
         f, c = f[order], c[order]
         new = np.ones(len(f), bool)
         new[1:] = (f[1:] != f[:-1]) | (c[1:] != c[:-1])
-        counts[y] = np.unique(f[new], return_counts=True)
-    feature, toxic = counts[1]
+        counts.append(np.unique(f[new], return_counts=True))
+    (other, n_other), (feature, n) = counts
     if not len(feature):
         return np.zeros(0, np.uint64)
-    base = counts[1][1].sum() / max(1, counts[0][1].sum() + counts[1][1].sum())
-    i = np.minimum(np.searchsorted(counts[0][0], feature), max(0, len(counts[0][0]) - 1))
-    clean = np.where(counts[0][0][i] == feature, counts[0][1][i], 0) if len(counts[0][0]) else np.zeros(len(feature))
-    share = toxic / (toxic + clean)
+    base = n.sum() / max(1, n_other.sum() + n.sum())
+    i = np.minimum(np.searchsorted(other, feature), max(0, len(other) - 1))
+    n_clean = np.where(other[i] == feature, n_other[i], 0) if len(other) else np.zeros(len(feature))
+    share = n / (n + n_clean)
     with np.errstate(divide="ignore", invalid="ignore"):
-        far = toxic * np.log(share / base) + np.where(clean > 0, clean * np.log((1 - share) / max(1 - base, 1e-9)), 0.0)
-    return feature[(toxic >= MIN_CONTEXTS) & (clean <= 0.05 * toxic) & (far >= np.log(len(feature) / ERROR))]
+        far = n * np.log(share / base) + np.where(n_clean > 0, n_clean * np.log((1 - share) / max(1 - base, 1e-9)), 0.0)
+    return feature[(n >= MIN_CONTEXTS) & (n_clean <= 0.05 * n) & (far >= np.log(len(feature) / ERROR))]
 
 
 def calibrate(weight: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
@@ -229,8 +245,8 @@ def fit(docs: DataFrame, labels: DataFrame, train=None, *, label: str = "toxic",
     train = F.lit(True) if train is None else train
     drawn = labelled.sample(docs, labels, label, train & (F.col(label) == 1), limit).unionByName(labelled.sample(docs, labels, label, train & (F.col(label) == 0), limit))
     share = labels.where(train & F.col(label).isNotNull()).agg(F.avg(F.col(label).cast("double"))).first()[0]
-    rows = drawn.mapInArrow(_contexts, "label int, f binary, c binary").toArrow()
-    insults = learn_insults([(y, np.frombuffer(f, np.uint64), np.frombuffer(c, np.uint32)) for y, f, c in zip(rows.column("label").to_pylist(), rows.column("f").to_pylist(), rows.column("c").to_pylist(), strict=True)])
+    rows = drawn.mapInArrow(_contexts, "label int, f binary, c binary, w binary").toArrow()
+    insults = learn_insults([(y, np.frombuffer(f, np.uint64), np.frombuffer(c, np.uint32), np.frombuffer(w, np.uint64)) for y, f, c, w in zip(*(rows.column(k).to_pylist() for k in ("label", "f", "c", "w")), strict=True)])
     del rows
     first, auto = Model(insults, 0.0, 1.0), grammar()
 
