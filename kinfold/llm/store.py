@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,10 +29,18 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        schema = df.schema
+        del df
+        out = self.spark.read.schema(schema).parquet(path)
         out._scratch = path
         return out
 
+    def sweep(self) -> None:
+        """Frees the shuffle files of finished steps: Spark's cleaner does so once the driver has
+        collected the objects that stand for them, which it otherwise may not do for long."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         for t in tables:
