@@ -205,7 +205,7 @@ def _id(docs: DataFrame) -> Column:
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) for each row."""
     scratch = Scratch(docs.sparkSession, "substring")
-    texts = docs.select(_id(docs).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("_id"), F.crc32(F.coalesce("text", F.lit(""))).cast("int").alias("t"))
+    texts = docs.select(_id(docs).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("_id"), (F.crc32(F.coalesce("text", F.lit(""))) - F.lit(2**31)).cast("int").alias("t"))
 
     paths = texts.select("doc_id", "t", "text").mapInArrow(_paths, PATHS)
     gone = _repeats(paths, scratch, "many").groupBy(F.col("id").alias("doc_id"), "t").agg(F.collect_list(F.struct("start", "many")).alias("p"))
