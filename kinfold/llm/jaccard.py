@@ -1,12 +1,13 @@
 """N-gram Jaccard join in size-banded tiles with hashed bitmap signatures.
 
-A document is the set of its distinct 3-word shingles (64-bit hashes); documents with equal sets are
-one node.  Two nodes link when 100 * |x & y| >= 90 * |x | y|.  Every link is found:
+A document is the set of its distinct word shingles (64-bit hashes); documents with equal sets are
+one node.  Two nodes link when, by the rule of 90 %, 100 * |x & y| >= 90 * |x | y|.  Every link is found:
 
 1. Bands.  The smaller set of a pair lies in a band of sizes [l, u]; the pair differs in at most
-   k = u // 9 shingles.  Hash ranges cut each set of the band's tile into k + 3 parts, so at least
-   three parts are equal, and one of them isn't empty unless both sets have three empty parts (such
-   sets also post their empty ones).  A part's signature is a sum of hashes.
+   k = u // 9 shingles.  Hash ranges cut each set of the band's tile into more than k parts, and a
+   shingle that differs changes one part, so at most k parts differ.  A set that fills more than k
+   parts posts those; at least one is equal in its partner.  Of sets that fill fewer (rare) all
+   parts are posted, empty ones too.  A part's signature is a sum of hashes.
 2. Equal signatures are stars: each task keeps one node per signature and links its others to it, so
    after the shuffle a signature has a row for each task at most.  Linked pairs share a star, so all
    links are inside connected components of the stars (``groups``).
@@ -23,7 +24,10 @@ component that holds another id.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,41 +38,66 @@ from kinfold.llm import graph
 from kinfold.llm import words as W
 from kinfold.llm.store import Scratch
 
-SHINGLE = 3
-#: A link: PART * intersection >= WHOLE * union.  The bands below follow from 90 %.
-PART, WHOLE = 100, 90
-SPARE = 2
-RATIO = 1.5
 #: Nodes on either side of a tile.
 TILE = 1024
 #: Postings that a task gathers before it reduces them to stars.
 FLUSH = 1_500_000
+#: Sizes of a band differ by this factor at most.
+RATIO = 1.5
 
 _U = np.uint64
 
 
-def _bands(most: int = 1 << 34) -> tuple[np.ndarray, np.ndarray]:
-    low = [9]
-    while low[-1] < most:
-        low.append(max(low[-1] + 1, int(low[-1] * RATIO)))
-    return np.array(low[:-1]), np.array(low[1:]) - 1
+@dataclass(frozen=True)
+class Rule:
+    """Sets of ``shingle`` words; a link: part * intersection >= whole * union."""
+
+    shingle: int = 3
+    part: int = 100
+    whole: int = 90
+
+    @property
+    def least(self) -> int:
+        """Smallest size of a set that can link to a different one that is no smaller."""
+        return -(-self.whole // (self.part - self.whole)) if self.whole < self.part else 1 << 40
 
+    @cached_property
+    def bands(self) -> tuple[np.ndarray, np.ndarray]:
+        low = [self.least]
+        while low[-1] < 1 << 34:
+            low.append(max(low[-1] + 1, int(low[-1] * RATIO)))
+        return np.array(low[:-1]), np.array(low[1:]) - 1
 
-_LOW, _HIGH = _bands()
-_cuts: dict[int, np.ndarray] = {}
+    def differ(self, size: int) -> int:
+        """Shingles in which two linked sets can differ if the smaller has at most ``size``."""
+        return size * (self.part - self.whole) // self.whole
 
+    @cached_property
+    def _cuts(self) -> dict[int, np.ndarray]:
+        return {}
 
-def _part_cuts(band: int) -> np.ndarray:
-    if band not in _cuts:
-        m = int(_HIGH[band]) // 9 + 1 + SPARE
-        _cuts[band] = np.array([(i << 64) // m for i in range(m)], dtype=np.uint64)
-    return _cuts[band]
+    def cuts(self, band: int) -> np.ndarray:
+        """Lower ends of the hash ranges of a band: so many that the smallest sets fill more than
+        differ() of them, but for a rare few."""
+        if band not in self._cuts:
+            low, k = int(self.bands[0][band]), self.differ(int(self.bands[1][band]))
+            m = k + 3
+            while m < 2 * k + 8 and m * (1 - math.exp(-low / m)) - 3 * math.sqrt(m * math.exp(-low / m)) < k + 1:
+                m += 1
+            self._cuts[band] = np.array([(i << 64) // m for i in range(m)], dtype=np.uint64)
+        return self._cuts[band]
+
+    def linked(self, x: np.ndarray, y: np.ndarray) -> bool:
+        """Whether two sorted sets reach the threshold."""
+        both = len(x) + len(y) - len(np.union1d(x, y))
+        return self.part * both >= self.whole * (len(x) + len(y) - both)
 
 
 class Sets:
     """Sorted distinct shingle hashes of each text of a slice, in values[ptr[i]:ptr[i+1]]."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, rule: Rule):
+        self.rule, n = rule, rule.shingle
         starts, ends, ptr = W.spans(data, offsets)
         h = W.hashes(data, starts, ends, lower=True)
         doc, many = W.per_doc(ptr), np.diff(ptr)
@@ -99,26 +128,27 @@ class Sets:
 
     def postings(self, i: int) -> Iterator[np.ndarray]:
         """Part signatures of set i in the tiles of its band and, near its lower end, the one below."""
-        size, s = int(self.size[i]), self.of(i)
-        if size < _LOW[0]:
+        size, s, rule = int(self.size[i]), self.of(i), self.rule
+        low, high = rule.bands
+        if size < low[0]:
             return
-        own = int(np.searchsorted(_LOW, size, side="right")) - 1
+        own = int(np.searchsorted(low, size, side="right")) - 1
         for band in (own, own - 1):
-            if band < 0 or band < own and 9 * size > 10 * int(_HIGH[band]):
+            if band < 0 or band < own and rule.whole * size > rule.part * int(high[band]):
                 continue
-            cuts = _part_cuts(band)
+            cuts = rule.cuts(band)
             b = np.append(np.searchsorted(s, cuts), size) + self.ptr[i]
             sums = self.total[b[1:]] - self.total[b[:-1]]
             part = np.arange(len(cuts), dtype=np.uint64) + _U(band << 40)
             full = b[1:] > b[:-1]
-            if len(cuts) - np.count_nonzero(full) <= SPARE:
+            if np.count_nonzero(full) > rule.differ(int(high[band])):
                 sums, part = sums[full], part[full]
             yield W.mix(sums ^ W.mix(part + _U(1)))
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _nodes(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, data, offsets in W.slices(batches):
-        s = Sets(data, offsets)
+        s = Sets(data, offsets, rule)
         node = pa.array(s.nodes(), pa.int64(), mask=s.size == 0)
         yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(s.size.astype(np.int64)), node], ["doc_id", "n_shingles", "node"])
 
@@ -139,7 +169,7 @@ def _stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return sig[first], node[first], a[new], b[new]
 
 
-def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _posted(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(sig, a, null): node a has the signature; (any, a, b): a link of this task's stars."""
     held_sig, held_node, held = [], [], 0
 
@@ -154,7 +184,7 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out.slice(i, 100_000)
 
     for _, data, offsets in W.slices(batches):
-        s = Sets(data, offsets)
+        s = Sets(data, offsets, rule)
         nodes = s.nodes()
         _, index = np.unique(nodes, return_index=True)
         for i in index.tolist():
@@ -190,12 +220,6 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(c), pa.int64())], ["a", "b"])
 
 
-def linked(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether two sorted sets reach the threshold."""
-    both = len(x) + len(y) - len(np.union1d(x, y))
-    return PART * both >= WHOLE * (len(x) + len(y) - both)
-
-
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     """A bitmap for each set, of about four bits for each shingle of the largest, as rows of words."""
     bits = 64
@@ -208,7 +232,7 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def tile_links(nodes: np.ndarray, fine: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def tile_links(rule: Rule, nodes: np.ndarray, fine: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """A spanning forest of the links between components ``fine`` of a tile.
 
     Pairs are those of a row with side & 1 and one with side & 2; rows of one component aren't compared.
@@ -230,7 +254,7 @@ def tile_links(nodes: np.ndarray, fine: np.ndarray, side: np.ndarray, sets: list
     for i in range(len(nodes)):
         if left == 1:
             break
-        far = int(np.searchsorted(size, 10 * size[i] // 9, side="right"))  # the band of sizes above row i
+        far = int(np.searchsorted(size, rule.part * size[i] // rule.whole, side="right"))  # the band of sizes above row i
         if far <= i + 1:
             continue
         js = np.arange(i + 1, far)
@@ -242,30 +266,30 @@ def tile_links(nodes: np.ndarray, fine: np.ndarray, side: np.ndarray, sets: list
         lacks = np.bitwise_count(maps[i] & ~maps[js]).sum(1, dtype=np.int64)
         extra = np.bitwise_count(maps[js] & ~maps[i]).sum(1, dtype=np.int64)
         most = np.minimum(size[i] - lacks, size[js] - extra)
-        may = PART * most >= WHOLE * (size[i] + size[js] - most)
+        may = rule.part * most >= rule.whole * (size[i] + size[js] - most)
         for j in js[may][np.argsort(-most[may], kind="stable")].tolist():
             a, b = find(members[i]), find(members[j])
-            if a != b and linked(sets[i], sets[j]):
+            if a != b and rule.linked(sets[i], sets[j]):
                 roots[a] = b
                 left -= 1
                 found.append((int(nodes[i]), int(nodes[j])))
     return found
 
 
-def _sets_of(table: pa.Table, text: str = "text") -> list[np.ndarray]:
+def _sets_of(rule: Rule, table: pa.Table, text: str = "text") -> list[np.ndarray]:
     out = []
     for _, data, offsets in W.slices(iter(table.combine_chunks().to_batches()), text):
-        s = Sets(data, offsets)
+        s = Sets(data, offsets, rule)
         out += [s.of(i).copy() for i in range(len(offsets) - 1)]
     return out
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tiles(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each tile; rows come sorted by tile (g, x, m)."""
 
     def links(rows: pa.Table) -> list[tuple[int, int]]:
         node, fine, side = (np.asarray(rows.column(k).combine_chunks()) for k in ("node", "fine", "side"))
-        return tile_links(node, fine, side, _sets_of(rows)) if len(node) > 1 else []
+        return tile_links(rule, node, fine, side, _sets_of(rule, rows)) if len(node) > 1 else []
 
     held: pa.Table | None = None
     for batch in batches:
@@ -286,50 +310,50 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verified(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) whose texts link."""
     for batch in batches:
         table = pa.Table.from_batches([batch])
         ok = []
         for i in range(0, table.num_rows, 500):
             part = table.slice(i, 500)
-            ok += [linked(x, y) for x, y in zip(_sets_of(part, "text_a"), _sets_of(part, "text_b"), strict=True)]
+            ok += [rule.linked(x, y) for x, y in zip(_sets_of(rule, part, "text_a"), _sets_of(rule, part, "text_b"), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _own(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of the nodes that are asked for."""
     for batch, data, offsets in W.slices(batches):
-        same = Sets(data, offsets).nodes() == np.asarray(batch.column(batch.schema.get_field_index("node")))
+        same = Sets(data, offsets, rule).nodes() == np.asarray(batch.column(batch.schema.get_field_index("node")))
         yield batch.select(["node", "g", "many", "text"]).filter(pa.array(same))
 
 
-def _in_tiles(rows: DataFrame) -> DataFrame:
-    return rows.repartition("g", "x", "m").sortWithinPartitions("g", "x", "m").mapInArrow(_tiles, "a long, b long")
+def _in_tiles(rows: DataFrame, rule: Rule) -> DataFrame:
+    return rows.repartition("g", "x", "m").sortWithinPartitions("g", "x", "m").mapInArrow(partial(_tiles, rule), "a long, b long")
 
 
-def node_links(texts: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+def node_links(texts: DataFrame, nodes: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """Links (a, b) of nodes that connect all nodes that links connect.  texts: doc_id, text; nodes: doc_id, node."""
-    posted = texts.select("text").mapInArrow(_posted, "sig long, a long, b long")
+    posted = texts.select("text").mapInArrow(partial(_posted, rule), "sig long, a long, b long")
     stars = scratch.write(posted.repartition("sig").sortWithinPartitions("sig", "a").mapInArrow(_linked, "a long, b long").distinct())
     scratch.sweep()
     groups = scratch.write(graph.components(stars, scratch).select("node", F.col("root").alias("g")))
     scratch.sweep()
     sized = groups.join(groups.groupBy("g").agg(F.count("*").alias("many")), "g")
     asked = sized.join(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node")
-    held = scratch.write(texts.join(asked, "doc_id").select("node", "g", "many", "text").mapInArrow(_own, "node long, g long, many long, text string").dropDuplicates(["node"]))
+    held = scratch.write(texts.join(asked, "doc_id").select("node", "g", "many", "text").mapInArrow(partial(_own, rule), "node long, g long, many long, text string").dropDuplicates(["node"]))
     scratch.sweep()
 
     one = F.lit(0)
     small = held.where(F.col("many") <= TILE).select("g", one.alias("x"), one.alias("m"), "node", F.col("node").alias("fine"), F.lit(3).alias("side"), "text")
-    links = scratch.write(_in_tiles(small))
+    links = scratch.write(_in_tiles(small, rule))
     scratch.sweep()
     large = scratch.write(held.where(F.col("many") > TILE))
     if large.isEmpty():
         return links
 
     pairs = stars.join(large.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(large.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    star_links = scratch.write(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long"))
+    star_links = scratch.write(pairs.select("a", "b", "text_a", "text_b").mapInArrow(partial(_verified, rule), "a long, b long"))
     scratch.sweep()
     fine = graph.components(star_links, scratch)
     rows = large.select("g", "node").join(fine, "node", "left").select("g", "node", F.coalesce("root", "node").alias("fine"))
@@ -344,17 +368,17 @@ def node_links(texts: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFram
     every = rows.select("g", F.explode(F.sequence(F.lit(0), F.col("gx") - 1)).alias("x"), block(F.col("gm"), 1).alias("m"), "node", "fine", F.lit(2).alias("side"))
     odd = rows.where("odd").select("g", block(F.col("gx"), 2).alias("x"), F.explode(F.sequence(F.lit(0), F.col("gm") - 1)).alias("m"), "node", "fine", F.lit(1).alias("side"))
     both = every.unionByName(odd).groupBy("g", "x", "m", "node", "fine").agg(F.sum("side").cast("int").alias("side"))
-    rest = scratch.write(_in_tiles(both.join(texts_of, "node").select("g", "x", "m", "node", "fine", "side", "text")))
+    rest = scratch.write(_in_tiles(both.join(texts_of, "node").select("g", "x", "m", "node", "fine", "side", "text"), rule))
     return links.unionByName(star_links).unionByName(rest)
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach; null id: null) of each row."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    every = scratch.write(texts.mapInArrow(_nodes, "doc_id long, n_shingles long, node long"))
+    every = scratch.write(texts.mapInArrow(partial(_nodes, rule), "doc_id long, n_shingles long, node long"))
     nodes = every.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
-    links = node_links(texts.where(F.col("doc_id").isNotNull()), nodes, scratch)
+    links = node_links(texts.where(F.col("doc_id").isNotNull()), nodes, rule, scratch)
     roots = scratch.write(graph.components(links, scratch))
     known = scratch.write(nodes.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     named = known.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -362,11 +386,11 @@ def join(docs: DataFrame) -> DataFrame:
     return every.join(ids, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, rule: Rule = Rule(5, 100, 80)) -> DataFrame:
     """The documents without those that are near copies of one with a smaller id; all columns stay.
 
     Of rows with one id and one text one stays.  Rows without shingles or id stay."""
-    gone = join(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = join(docs.select("doc_id", "text"), rule).where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if not _repeated(docs):
         return kept
@@ -381,15 +405,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
-SQL = f"""
+SQL = """
 WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' '))) END AS g FROM t),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS g FROM t),
 z AS (SELECT doc_id, len(g) AS n, CASE WHEN len(g) > 0 THEN md5(array_to_string(list_sort(g), chr(10))) END AS node FROM s),
 u AS (SELECT z.node, any_value(z.n) AS n, any_value(s.g) AS g FROM z JOIN s USING (doc_id) WHERE z.node IS NOT NULL GROUP BY z.node),
 e AS (SELECT node, n, unnest(g) AS x FROM u),
 pr AS (SELECT a.node AS p, b.node AS q, any_value(a.n) AS np, any_value(b.n) AS nq, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.node < b.node AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n GROUP BY a.node, b.node),
-l AS (SELECT p, q FROM pr WHERE {PART} * k >= {WHOLE} * (np + nq - k)),
+l AS (SELECT p, q FROM pr WHERE 100 * k >= 90 * (np + nq - k)),
 r AS (SELECT node AS a, node AS b FROM u UNION SELECT r.a, CASE WHEN l.p = r.b THEN l.q ELSE l.p END FROM r JOIN l ON r.b = l.p OR r.b = l.q),
 c AS (SELECT r.a AS node, min(z.doc_id) AS component_id FROM r JOIN z ON z.node = r.b GROUP BY r.a)
 SELECT z.doc_id, z.n::BIGINT AS n_shingles, coalesce(c.component_id, z.doc_id) AS component_id FROM z LEFT JOIN c USING (node)

@@ -18,11 +18,13 @@ than the other; they are told apart by their text's checksum (``t``).  A null do
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from kinfold.llm import words as W
 from kinfold.llm.store import Scratch
@@ -169,8 +171,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([_signed(a), _signed(b), pa.array(ids[doc], pa.int64()), pa.array(t[doc], pa.int32()), pa.array((at - text.ptr[doc]).astype(np.int32))], ["a", "b", "id", "t", "start"])
 
 
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words, removed words and kept text of each document."""
+def _removed(whole: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words, removed words and kept text of each document; with ``whole``, a text that loses nothing stays as it is."""
     for batch, text, _, _ in _texts(batches):
         edge = np.zeros(len(text.h) + 1, np.int64)
         for starts, many in (("path_start", "path_many"), ("window_start", None)):
@@ -184,11 +186,15 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = text.data.tobytes()
         starts, ends, ptr = text.starts.tolist(), text.ends.tolist(), text.ptr.tolist()
         kept = []
+        original = batch.column(batch.schema.get_field_index("text")).to_pylist() if whole else None
         for i in range(len(ptr) - 1):
+            if whole and not n_gone[i]:
+                kept.append(original[i])
+                continue
             at = (np.flatnonzero(~gone[ptr[i] : ptr[i + 1]]) + ptr[i]).tolist()
             kept.append(b" ".join([raw[starts[j] : ends[j]] for j in at]).decode("utf-8", "replace"))
-        keep = [batch.column(batch.schema.get_field_index("_id"))]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array(text.n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+        own = batch.column(batch.schema.get_field_index("_row"))
+        yield pa.RecordBatch.from_arrays([own, pa.array(text.n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(kept, pa.string())], ["_row", "n_words", "n_removed", "kept"])
 
 
 def _repeats(places: DataFrame, scratch: Scratch, *more: str) -> DataFrame:
@@ -204,13 +210,28 @@ def _id(docs: DataFrame) -> Column:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) for each row."""
+    return _dedup(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), False).select("_row.doc_id", "n_words", "n_removed", "kept")
+
+
+def strip(docs: DataFrame) -> DataFrame:
+    """The documents without repeated passages, with the same columns.
+
+    A text that loses nothing stays as it is; n_chars, if there, follows the text.  Documents of which
+    no word is left go; those without words stay."""
+    rows = _dedup(docs, True).where("n_words = 0 or n_removed < n_words")
+    cols = {"text": F.col("kept"), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept").cast(dict(docs.dtypes).get("n_chars", "long"))).otherwise(F.col("_row.n_chars") if "n_chars" in docs.columns else None)}
+    return rows.select(*(cols[c].alias(c) if c in cols else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+
+
+def _dedup(docs: DataFrame, whole: bool) -> DataFrame:
+    """_row (the other columns), n_words, n_removed, kept for each row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "substring")
-    texts = docs.select(_id(docs).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("_id"), (F.crc32(F.coalesce("text", F.lit(""))) - F.lit(2**31)).cast("int").alias("t"))
+    texts = docs.select(_id(docs).alias("doc_id"), (F.col("text") if whole else F.coalesce("text", F.lit(""))).alias("text"), F.struct(*(c for c in docs.columns if c != "text")).alias("_row"), (F.crc32(F.coalesce("text", F.lit(""))) - F.lit(2**31)).cast("int").alias("t"))
 
     paths = texts.select("doc_id", "t", "text").mapInArrow(_paths, PATHS)
     gone = _repeats(paths, scratch, "many").groupBy(F.col("id").alias("doc_id"), "t").agg(F.collect_list(F.struct("start", "many")).alias("p"))
     scratch.sweep()
-    opened = scratch.write(texts.join(gone, ["doc_id", "t"], "left").select("doc_id", "t", "text", "_id", F.col("p.start").alias("path_start"), F.col("p.many").alias("path_many")))
+    opened = scratch.write(texts.join(gone, ["doc_id", "t"], "left").select("doc_id", "t", "text", "_row", F.col("p.start").alias("path_start"), F.col("p.many").alias("path_many")))
     scratch.sweep()
 
     grams = opened.select("doc_id", "t", "text", "path_start", "path_many").mapInArrow(_minimizers, "g long, id long, t int, n int")
@@ -222,7 +243,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     again = scratch.write(_repeats(windows, scratch).groupBy(F.col("id").alias("doc_id"), "t").agg(F.collect_set("start").alias("window_start")))
     scratch.drop(windows)
     scratch.sweep()
-    return opened.join(again, ["doc_id", "t"], "left").select("doc_id", "t", "text", "_id", "path_start", "path_many", "window_start").mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept string")
+    return opened.join(again, ["doc_id", "t"], "left").select("doc_id", "t", "text", "_row", "path_start", "path_many", "window_start").mapInArrow(partial(_removed, whole), StructType([opened.schema["_row"], *map(StructField, ("n_words", "n_removed", "kept"), (LongType(), LongType(), StringType()))]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
