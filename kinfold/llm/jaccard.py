@@ -42,6 +42,8 @@ from kinfold.llm.store import Scratch
 TILE = 1024
 #: Postings that a task gathers before it reduces them to stars.
 FLUSH = 1_500_000
+#: Parts into which the nodes of a group are dealt when they meet its size.
+SALTS = 64
 #: Sizes of a band differ by this factor at most.
 RATIO = 1.5
 
@@ -339,7 +341,10 @@ def node_links(texts: DataFrame, nodes: DataFrame, rule: Rule, scratch: Scratch)
     scratch.sweep()
     groups = scratch.write(graph.components(stars, scratch).select("node", F.col("root").alias("g")))
     scratch.sweep()
-    sized = groups.join(groups.groupBy("g").agg(F.count("*").alias("many")), "g")
+    wide = groups.groupBy("g").agg(F.count("*").alias("many")).where(F.col("many") > TILE)
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")  # one group may hold a third of all nodes
+    wide = wide.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sized = groups.withColumn("salt", salt).join(wide, ["g", "salt"], "left").select("node", "g", F.coalesce("many", F.lit(1)).alias("many"))
     asked = sized.join(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node")
     held = scratch.write(texts.join(asked, "doc_id").select("node", "g", "many", "text").mapInArrow(partial(_own, rule), "node long, g long, many long, text string").dropDuplicates(["node"]))
     scratch.sweep()
