@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.llm.store import bounded
+
 
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text modulo n; a null id counts as the empty text."""
@@ -18,6 +20,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, limit:
     of several labels of one id the largest counts.  The chosen ids are bounded by ``limit``, so they
     are broadcast to the scan of the documents and no text is shuffled.
     """
+    bounded(docs.sparkSession)
     chosen = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & train)

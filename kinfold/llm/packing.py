@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import words as W
+from kinfold.llm.store import bounded
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 END_ID = 1
@@ -162,6 +163,7 @@ class Packer:
 def pack(docs: DataFrame, *, vocabulary: str = "byte_bpe_50k", limits: Limits = Limits(), loss_from: str | None = None) -> DataFrame:
     """One row for each piece, with SCHEMA.  ``loss_from`` names a column with the number of leading
     ids that bear no loss (a prompt); without it every id bears loss."""
+    bounded(docs.sparkSession)
     mask = F.lit(0) if loss_from is None else F.coalesce(F.col(loss_from), F.lit(0))
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     types = [pa.int64()] * len(names)

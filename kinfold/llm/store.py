@@ -18,10 +18,23 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows and bytes of an Arrow batch of texts; Spark's default of 10,000 rows alone can be gigabytes.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8_000_000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the session, unless it has set smaller ones."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 class Scratch:
     """Parquet tables of one run of an operator; ``drop`` deletes those that no later step reads."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bounded(spark)
         self.spark, self.root, self.n = spark, f"{folder(spark)}/{name}-{uuid.uuid4().hex}", 0
 
     def write(self, df: DataFrame) -> DataFrame:

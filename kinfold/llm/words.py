@@ -13,9 +13,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one call of a kernel handles at a time (a longer document is one slice).
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 #: Bytes that are hashed at once; a longer buffer is cut at white space.
-PIECE_BYTES = 1_000_000
+PIECE_BYTES = 500_000
 
 _U = np.uint64
 _C1, _C2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
