@@ -13,7 +13,7 @@ answers each with totals in the order of its list, so answers need no keys.  A f
 once from each block, and no n-gram is dropped.  Sizes of blocks and parts grow with the square root
 of the corpus, so that the number of rows is in proportion to it.
 
-An n-gram is known by 56 bits of a hash.  Null and empty texts have no words and a sum of 0.
+An n-gram is known by 52 bits of a hash.  Null and empty texts have no words and a sum of 0.
 Repeated rows are counted and scored one by one.
 """
 
@@ -29,11 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import words as W
+from kinfold.llm.store import bounded
 
 ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
-HASH_BITS = 56
+HASH_BITS = 52
 #: Text of a block and n-grams of a part, for a corpus of up to a gigabyte; both grow with its square root.
 BLOCK_BYTES = 8_000_000
 PART_GRAMS = 1_500_000
@@ -93,6 +94,7 @@ def _listed(grams: list[np.ndarray], parts: int) -> tuple[np.ndarray, np.ndarray
 
 def score(docs: DataFrame, *, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
     """doc_id, n_words, logprob (natural logarithm, summed over the words of the whole text)."""
+    bounded(docs.sparkSession)
     size = layout(docs)
     parts, total = size.parts, max(1, size.words)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(size.blocks)).cast("int").alias("block"))
