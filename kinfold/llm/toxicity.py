@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ STEMS = (4, 5, 6)
 #: A learned insult needs this many contexts in toxic documents, and a share of toxic contexts that
 #: chance gives to less than ERROR of all features tried (Chernoff bound, Bonferroni correction).
 MIN_CONTEXTS = 4
+#: Hash parts in which the features are counted.
+PARTS = 16
 ERROR = 0.01
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -132,26 +135,32 @@ def _found(h: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     return sorted_set[i] == h
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contexts(known: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct (feature, context) pairs by hash part and label: of whole words, or with ``known``
+    of the stems of all other words."""
     for batch, data, offsets in W.slices(batches):
         s, e, ptr, _ = tokens(data, offsets)
+        if not len(s):
+            continue
         feats = _features(data, s, e)
         pad = np.concatenate([[np.uint64(1)], feats[0], [np.uint64(2)]])
-        context = W.mix(pad[:-2] * np.uint64(3) ^ pad[2:]) if len(s) else np.zeros(0, np.uint64)
-        label = np.asarray(batch.column(batch.schema.get_field_index("label")))
-        word_label = label[W.per_doc(ptr)]
-        for y in (0, 1):
-            at = word_label == y
-            f = np.concatenate([x[at] for x in feats])
-            c = (np.tile(context[at], len(feats)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            w = np.tile(feats[0][at], len(feats))
-            order = np.lexsort((c, w, f))
-            order = order[f[order] != 0]
-            f, c, w = f[order], c[order], w[order]
-            if len(f):
-                new = np.ones(len(f), bool)
-                new[1:] = (f[1:] != f[:-1]) | (w[1:] != w[:-1]) | (c[1:] != c[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), *(pa.array([x[new].tobytes()], pa.binary()) for x in (f, c, w))], ["label", "f", "c", "w"])
+        context = (W.mix(pad[:-2] * np.uint64(3) ^ pad[2:]) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        label = np.asarray(batch.column(batch.schema.get_field_index("label")))[W.per_doc(ptr)]
+        many, new_word = (1, None) if known is None else (len(STEMS), ~_found(feats[0], known))
+        f = np.concatenate(feats[:1] if known is None else feats[1:])
+        c, y = np.tile(context, many), np.tile(label, many)
+        keep = f != 0 if known is None else (f != 0) & np.tile(new_word, many)
+        f, c, y = f[keep], c[keep], y[keep]
+        part = (f % np.uint64(PARTS)).astype(np.int32)
+        order = np.lexsort((c, f, y, part))
+        f, c, y, part = f[order], c[order], y[order], part[order]
+        new = np.ones(len(f), bool)
+        new[1:] = (f[1:] != f[:-1]) | (y[1:] != y[:-1]) | (c[1:] != c[:-1])
+        f, c, y, part = f[new], c[new], y[new], part[new]
+        cut = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (y[1:] != y[:-1]))) if len(f) else np.zeros(0, int)
+        rows = list(zip(cut.tolist(), [*cut[1:].tolist(), len(f)], strict=False))
+        out = [part[cut], y[cut], [f[i:j].tobytes() for i, j in rows], [c[i:j].tobytes() for i, j in rows]]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "label", "f", "c"])
 
 
 @dataclass(frozen=True)
@@ -190,20 +199,27 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.bias + self.slope * np.log1p(weight), -40, 40)))
 
 
-def learn_insults(contexts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+def _learn_part(table: pa.Table) -> pa.Table:
+    """Insults among the features of one hash part."""
+    both = []
+    y = np.asarray(table.column("label").combine_chunks())
+    for k in (0, 1):
+        rows = table.filter(pa.array(y == k))
+        both.append(tuple(np.frombuffer(b"".join(rows.column(n).to_pylist()), t) for n, t in (("f", np.uint64), ("c", np.uint32))))
+    return pa.table({"f": pa.array(_beyond_chance(*both).view(np.int64), pa.int64())})
+
+
+def learn_insults(drawn: DataFrame) -> np.ndarray:
     """Sorted hashes of the words, and then of the stems, that belong to toxic documents.
 
-    contexts: label, and features, contexts and whole words of a part of the sample.  A stem counts
-    only by words that aren't learned as such, or the stem of an insult would catch other words.
-    """
-    parts = {}
-    for y in (0, 1):
-        own = [p[1:] for p in contexts if p[0] == y]
-        parts[y] = [np.concatenate([p[i] for p in own]) if own else np.zeros(0, np.uint32 if i == 1 else np.uint64) for i in range(3)]
-    words = _beyond_chance(*((f[f == w], c[f == w]) for f, c, w in (parts[0], parts[1])))
-    rest = [(f != w) & ~_found(w, words) for f, _, w in (parts[0], parts[1])]
-    stems = _beyond_chance(*((f[m], c[m]) for (f, c, _), m in zip((parts[0], parts[1]), rest, strict=True)))
-    return np.union1d(words, stems)
+    A stem counts only by words that aren't learned as such, or the stem of an insult would catch
+    other words.  Contexts are counted on the executors by hash parts; what is learned is small."""
+    known = None
+    for _ in range(2):
+        found = drawn.mapInArrow(partial(_contexts, known), "part int, label int, f binary, c binary").groupBy("part").applyInArrow(_learn_part, "f long")
+        got = np.array([r.f for r in found.collect()], dtype=np.int64).view(np.uint64)
+        known = np.unique(got) if known is None else np.union1d(known, got)
+    return known
 
 
 def _beyond_chance(clean: tuple[np.ndarray, np.ndarray], toxic: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -223,7 +239,7 @@ def _beyond_chance(clean: tuple[np.ndarray, np.ndarray], toxic: tuple[np.ndarray
     share = n / (n + n_clean)
     with np.errstate(divide="ignore", invalid="ignore"):
         far = n * np.log(share / base) + np.where(n_clean > 0, n_clean * np.log((1 - share) / max(1 - base, 1e-9)), 0.0)
-    return feature[(n >= MIN_CONTEXTS) & (n_clean <= 0.05 * n) & (far >= np.log(len(feature) / ERROR))]
+    return feature[(n >= MIN_CONTEXTS) & (n_clean <= 0.05 * n) & (far >= np.log(PARTS * len(feature) / ERROR))]
 
 
 def calibrate(weight: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
@@ -241,13 +257,11 @@ def calibrate(weight: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, f
 
 
 def fit(docs: DataFrame, labels: DataFrame, train=None, *, label: str = "toxic", limit: int = SAMPLE) -> Model:
-    """Learns on at most ``limit`` rows of each class; hashed contexts and clause weights reach the driver."""
+    """Learns on at most ``limit`` rows of each class; the learned hashes and a weight for each row reach the driver."""
     train = F.lit(True) if train is None else train
     drawn = labelled.sample(docs, labels, label, train & (F.col(label) == 1), limit).unionByName(labelled.sample(docs, labels, label, train & (F.col(label) == 0), limit))
     share = labels.where(train & F.col(label).isNotNull()).agg(F.avg(F.col(label).cast("double"))).first()[0]
-    rows = drawn.mapInArrow(_contexts, "label int, f binary, c binary, w binary").toArrow()
-    insults = learn_insults([(y, np.frombuffer(f, np.uint64), np.frombuffer(c, np.uint32), np.frombuffer(w, np.uint64)) for y, f, c, w in zip(*(rows.column(k).to_pylist() for k in ("label", "f", "c", "w")), strict=True)])
-    del rows
+    insults = learn_insults(drawn)
     first, auto = Model(insults, 0.0, 1.0), grammar()
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
