@@ -7,7 +7,8 @@ one node.  Two nodes link when, by the rule of 90 %, 100 * |x & y| >= 90 * |x |
    k = u // 9 shingles.  Hash ranges cut each set of the band's tile into more than k parts, and a
    shingle that differs changes one part, so at most k parts differ.  A set that fills more than k
    parts posts those; at least one is equal in its partner.  Of sets that fill fewer (rare) all
-   parts are posted, empty ones too.  A part's signature is a sum of hashes.
+   parts are posted, empty ones too.  A part's signature is a sum of hashes.  Parts are first made
+   of the shingles that aren't frequent in a sample, and of all shingles where too few are left.
 2. Equal signatures are stars: each task keeps one node per signature and links its others to it, so
    after the shuffle a signature has a row for each task at most.  Linked pairs share a star, so all
    links are inside connected components of the stars (``groups``).
@@ -42,6 +43,8 @@ from kinfold.llm.store import Scratch
 TILE = 1024
 #: Postings that a task gathers before it reduces them to stars.
 FLUSH = 1_500_000
+#: Texts of the sample for frequent shingles; a shingle counts as frequent in so many of its sets.
+SAMPLE, POPULAR, POPULAR_MOST = 10_000, 5, 200_000
 #: Parts into which the nodes of a group are dealt when they meet its size.
 SALTS = 64
 #: Sizes of a band differ by this factor at most.
@@ -128,6 +131,16 @@ class Sets:
     def of(self, i: int) -> np.ndarray:
         return self.values[self.ptr[i] : self.ptr[i + 1]]
 
+    def mark(self, popular: np.ndarray) -> None:
+        """Sets apart the shingles that are in the sorted hashes ``popular``."""
+        rare = np.ones(len(self.values), bool)
+        if len(popular) and len(rare):
+            rare = popular[np.minimum(np.searchsorted(popular, self.values), len(popular) - 1)] != self.values
+        self.rare_count = np.zeros(len(rare) + 1, np.int64)
+        np.cumsum(rare, out=self.rare_count[1:])
+        self.rare_total = np.zeros(len(rare) + 1, np.uint64)
+        np.cumsum(np.where(rare, self.total[1:] - self.total[:-1], _U(0)), out=self.rare_total[1:])
+
     def postings(self, i: int) -> Iterator[np.ndarray]:
         """Part signatures of set i in the tiles of its band and, near its lower end, the one below."""
         size, s, rule = int(self.size[i]), self.of(i), self.rule
@@ -138,14 +151,19 @@ class Sets:
         for band in (own, own - 1):
             if band < 0 or band < own and rule.whole * size > rule.part * int(high[band]):
                 continue
-            cuts = rule.cuts(band)
+            cuts, differ = rule.cuts(band), rule.differ(int(high[band]))
             b = np.append(np.searchsorted(s, cuts), size) + self.ptr[i]
-            sums = self.total[b[1:]] - self.total[b[:-1]]
-            part = np.arange(len(cuts), dtype=np.uint64) + _U(band << 40)
-            full = b[1:] > b[:-1]
-            if np.count_nonzero(full) > rule.differ(int(high[band])):
-                sums, part = sums[full], part[full]
-            yield W.mix(sums ^ W.mix(part + _U(1)))
+            part = np.arange(len(cuts), dtype=np.uint64) + _U((2 * band + 1) << 40)
+            full = self.rare_count[b[1:]] > self.rare_count[b[:-1]]
+            sums = self.rare_total[b[1:]] - self.rare_total[b[:-1]]
+            yield W.mix(sums[full] ^ W.mix(part[full]))
+            if np.count_nonzero(full) <= differ:  # too few rare shingles: meet the like of it by all shingles
+                part += _U(1 << 40)
+                full = b[1:] > b[:-1]
+                sums = self.total[b[1:]] - self.total[b[:-1]]
+                if np.count_nonzero(full) > differ:
+                    sums, part = sums[full], part[full]
+                yield W.mix(sums ^ W.mix(part))
 
 
 def _nodes(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +189,7 @@ def _stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return sig[first], node[first], a[new], b[new]
 
 
-def _posted(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _posted(rule: Rule, popular: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(sig, a, null): node a has the signature; (any, a, b): a link of this task's stars."""
     held_sig, held_node, held = [], [], 0
 
@@ -187,6 +205,7 @@ def _posted(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
     for _, data, offsets in W.slices(batches):
         s = Sets(data, offsets, rule)
+        s.mark(popular)
         nodes = s.nodes()
         _, index = np.unique(nodes, return_index=True)
         for i in index.tolist():
@@ -330,13 +349,47 @@ def _own(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield batch.select(["node", "g", "many", "text"]).filter(pa.array(same))
 
 
+def _sampled(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles of the sample's distinct sets, by hash part."""
+    for _, data, offsets in W.slices(batches):
+        s = Sets(data, offsets, rule)
+        _, index = np.unique(s.nodes(), return_index=True)
+        v = np.concatenate([s.of(i) for i in index.tolist()])
+        part = (v >> _U(59)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(33))
+        rows = [(p, v[order[cut[p] : cut[p + 1]]].tobytes()) for p in range(32) if cut[p] < cut[p + 1]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "v"])
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    v, n = np.unique(np.frombuffer(b"".join(table.column("v").to_pylist()), np.uint64), return_counts=True)
+    top = np.lexsort((v, -n))[: POPULAR_MOST // 32]
+    top = top[n[top] >= POPULAR]
+    return pa.table({"v": pa.array(v[top].view(np.int64), pa.int64())})
+
+
+def popular_shingles(texts: DataFrame, rule: Rule) -> np.ndarray:
+    """Sorted hashes of at most POPULAR_MOST shingles that are frequent in a bounded sample of texts.
+
+    Only a hint: a passage that many documents share makes unlike documents fill parts alike.  Parts
+    are therefore made of the other shingles where these fill enough parts; the guarantee holds for
+    any list."""
+    drawn = texts.select(F.xxhash64("doc_id").alias("_k")).orderBy("_k").limit(SAMPLE).agg(F.max("_k")).first()[0]
+    if drawn is None:
+        return np.zeros(0, np.uint64)
+    rows = texts.where((F.xxhash64("doc_id") <= drawn) & F.col("doc_id").isNotNull()).select("text").mapInArrow(partial(_sampled, rule), "part int, v binary")
+    got = rows.groupBy("part").applyInArrow(_counted, "v long").toArrow()
+    return np.sort(np.array(got.column("v"), dtype=np.int64).view(np.uint64))
+
+
 def _in_tiles(rows: DataFrame, rule: Rule) -> DataFrame:
     return rows.repartition("g", "x", "m").sortWithinPartitions("g", "x", "m").mapInArrow(partial(_tiles, rule), "a long, b long")
 
 
 def node_links(texts: DataFrame, nodes: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """Links (a, b) of nodes that connect all nodes that links connect.  texts: doc_id, text; nodes: doc_id, node."""
-    posted = texts.select("text").mapInArrow(partial(_posted, rule), "sig long, a long, b long")
+    posted = texts.select("text").mapInArrow(partial(_posted, rule, popular_shingles(texts, rule)), "sig long, a long, b long")
     stars = scratch.write(posted.repartition("sig").sortWithinPartitions("sig", "a").mapInArrow(_linked, "a long, b long").distinct())
     scratch.sweep()
     groups = scratch.write(graph.components(stars, scratch).select("node", F.col("root").alias("g")))
