@@ -1,13 +1,16 @@
-"""Approximate nearest neighbours with a permutation index.
+"""Nearest neighbours with a permutation index.
 
 A vector is represented by the order of its nearest pivots.  The index deals all vectors into blocks;
 in a block, pivot inverted files hold the vectors under their POST nearest pivots.  A query looks up
 the files of its PROBE nearest pivots, ranks what it finds by the footrule distance of the whole
-permutations, and the best are reranked by cosine in double precision.  Queries meet every block (a
-stated query set against all rows, in blocks); a block and a block of queries are one bounded task,
-whose result is a few rows for each query.
-
-Pivots come from a bounded sample (the smallest hashes of the ids); every vector is indexed.  Equal
+permutations, and the best are reranked by cosine in double precision.  Their k-th best is only a
+bound: each vector also has a home, its nearest pivot, and every home that the triangle inequality
+of angles doesn't rule out at that bound is scored in full.  So no neighbour is lost, whatever the
+order of the permutations says.  Queries meet every block (a stated query set against all rows, in
+blocks); a block and a block of queries are one bounded task, whose result is a few rows for each query.
+
+Pivots come from a bounded sample of distinct vectors (their smallest hashes), farthest first, so that
+neither copies nor a tight cluster take more than their place; every vector is indexed.  Equal
 vectors of a block count once in the cut and are all candidates by their smallest ids.  Vectors that
 are null, zero, or hold null or non-finite components take no part, nor do those whose dimension isn't
 the most frequent one.  Rows without an id take no part.
@@ -16,6 +19,8 @@ the most frequent one.  Rows without an id take no part.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +30,12 @@ from pyspark.sql import functions as F
 from kinfold.llm.store import Scratch
 
 PIVOTS, POST, PROBE = 128, 14, 12
-#: Share of a block's distinct vectors that a query reranks, and the least number.
+#: Share of a block's distinct vectors that a query reranks for its first bound, and the least number.
 RERANK, RERANK_LEAST = 0.06, 256
+#: Distinct vectors that pivots are drawn from, for each pivot.
+SAMPLE = 8
+#: Queries that are scored against the homes at once, and what rounding may take from a cosine and an angle.
+AT_ONCE, SLACK = 256, 1e-9
 BLOCK, QUERY_BLOCK = 8192, 2048
 SEED = 11
 
@@ -48,9 +57,33 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _least(many: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the smallest distinct hashes of a partition."""
+    best = None
+    for b in batches:
+        t = pa.Table.from_batches([b] if best is None else [*best.to_batches(), b])
+        best = t.take(np.unique(np.asarray(t.column("h").combine_chunks()), return_index=True)[1][:many])
+    if best is not None:
+        yield from best.to_batches()
+
+
+def spread(x: np.ndarray, pivots: int) -> np.ndarray:
+    """Up to ``pivots`` rows of unit length, each the farthest from those before it; equal directions count once."""
+    at, near = [0], x @ x[0]
+    while len(at) < min(pivots, len(x)):
+        far = int(near.argmin())
+        if near[far] >= 1 - 1e-12:
+            break
+        at.append(far)
+        near = np.maximum(near, x @ x[far])
+    return x[at]
+
+
 def fit_pivots(rows: DataFrame, pivots: int = PIVOTS) -> np.ndarray:
-    got = rows.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(pivots).collect()
-    return unit(np.array([r.v for r in got], dtype=float)) if got else np.zeros((0, 1))
+    many = SAMPLE * pivots
+    hashed = rows.select("v", F.xxhash64("v", F.lit(SEED)).alias("h"))
+    got = hashed.mapInArrow(partial(_least, many), "v array<double>, h long").dropDuplicates(["h"]).orderBy("h").limit(many).collect()
+    return spread(unit(np.array([r.v for r in got], dtype=float)), pivots) if got else np.zeros((0, 1))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -67,8 +100,32 @@ def permutations(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return rank
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, rank: np.ndarray, q_ids: np.ndarray, q: np.ndarray, q_rank: np.ndarray, k: int, post: int = POST, probe: int = PROBE) -> list[tuple[int, int, float]]:
-    """The k best candidates of one block for each query; never the query's own row."""
+def _others(u: np.ndarray, home: np.ndarray, q: np.ndarray, least: np.ndarray, pivots: np.ndarray) -> Iterator[np.ndarray]:
+    """For each query, the vectors whose cosine is at least its bound; homes that can't hold one aren't scored."""
+    angle = lambda c: np.arccos(np.clip(c, -1, 1))
+    order = np.argsort(home, kind="stable")
+    cut = np.searchsorted(home[order], np.arange(len(pivots) + 1))
+    u, own = u[order], angle((u * pivots[home]).sum(1))[order]
+    wide = np.array([own[i:j].max() if i < j else -np.inf for i, j in zip(cut[:-1], cut[1:], strict=True)])
+    for at in range(0, len(q), AT_ONCE):
+        some, bound = q[at : at + AT_ONCE], least[at : at + AT_ONCE] - SLACK
+        reach = angle(bound)
+        reach[bound < -1] = np.inf
+        # arccos near 0 turns a rounding of 1e-16 into an angle of 1e-8
+        is_open = angle(some @ pivots.T) - wide <= reach[:, None] + 1e-6
+        asks, found = [], []
+        for p in np.flatnonzero(is_open.any(0) & (cut[:-1] < cut[1:])):
+            who = np.flatnonzero(is_open[:, p])
+            a, b = np.nonzero(some[who] @ u[cut[p] : cut[p + 1]].T >= bound[who, None])
+            asks.append(who[a])
+            found.append(order[cut[p] + b])
+        asks, found = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (asks, found))
+        by = np.argsort(asks, kind="stable")
+        yield from np.split(found[by], np.searchsorted(asks[by], np.arange(1, len(some))))
+
+
+def search_block(ids: np.ndarray, x: np.ndarray, rank: np.ndarray, q_ids: np.ndarray, q: np.ndarray, q_rank: np.ndarray, pivots: np.ndarray, k: int, post: int = POST, probe: int = PROBE) -> list[tuple[int, int, float]]:
+    """The k nearest of one block for each query, ties to the smaller id; never the query's own row."""
     order = np.argsort(ids, kind="stable")
     ids, x, rank = ids[order], x[order], rank[order]
     _, first, group = np.unique(x, axis=0, return_index=True, return_inverse=True)
@@ -82,27 +139,35 @@ def search_block(ids: np.ndarray, x: np.ndarray, rank: np.ndarray, q_ids: np.nda
         files.append(np.flatnonzero(own[:, p] < post))
     norm = np.sqrt((x * x).sum(1))
     most = max(RERANK_LEAST, math.ceil(RERANK * len(first)))
-    out = []
-    for qi, qv, qr in zip(q_ids.tolist(), q, q_rank.astype(np.int16), strict=True):
+
+    def scored(c: np.ndarray, qi: int, qv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.array([i for g in c.tolist() for i in copies[g]], dtype=np.int64)
+        at = at[ids[at] != qi]
+        return at, (x[at] * qv).sum(1) / (norm[at] * math.sqrt((qv * qv).sum()))
+
+    least = np.full(len(q), -np.inf)
+    for n, (qi, qv, qr) in enumerate(zip(q_ids.tolist(), q, q_rank.astype(np.int16), strict=True)):
         seen = np.zeros(len(first), bool)
         for p in np.flatnonzero(qr < probe):
             seen[files[p]] = True
         c = np.flatnonzero(seen)
         if len(c) > most:
             foot = np.abs(own[c] - qr).sum(1, dtype=np.int32)
-            c = c[np.argsort(foot, kind="stable")[:most]]
-        at = np.array([i for g in c.tolist() for i in copies[g]], dtype=np.int64)
-        at = at[ids[at] != qi]
-        if not len(at):
-            continue
-        score = (x[at] * qv).sum(1) / (norm[at] * math.sqrt((qv * qv).sum()))
+            c = c[np.argpartition(foot, most - 1)[:most]]
+        score = scored(c, qi, qv)[1]
+        if len(score) >= k:
+            least[n] = np.partition(score, -k)[-k]
+    out = []
+    every = _others(unit(x[first]), own.argmin(1), unit(q), least, pivots)
+    for qi, qv, c in zip(q_ids.tolist(), q, every, strict=True):
+        at, score = scored(c, qi, qv)
         for j in np.lexsort((ids[at], -score))[:k].tolist():
             out.append((qi, int(ids[at[j]]), float(score[j])))
     return out
 
 
 def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, pivots: int = PIVOTS, post: int = POST, probe: int = PROBE) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query, ties to the smaller id.
+    """query_id, rank, vec_id, score: the k nearest of each query, ties to the smaller id.
 
     Both inputs have vec_id and embedding; a row with the query's id is never its candidate."""
     scratch, rows = Scratch(vectors.sparkSession, "ann"), usable(vectors)
@@ -130,7 +195,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, pivots: int =
         asks = np.asarray(table.column("asks").combine_chunks())
         ids, x = np.asarray(table.column("vec_id").combine_chunks()), _matrix(table.column("v"))
         rank = np.frombuffer(b"".join(table.column("perm").to_pylist()), kind).reshape(len(ids), -1)
-        found = search_block(ids[~asks], x[~asks], rank[~asks], ids[asks], x[asks], rank[asks], k, post, probe) if asks.any() and not asks.all() else []
+        found = search_block(ids[~asks], x[~asks], rank[~asks], ids[asks], x[asks], rank[asks], centres, k, post, probe) if asks.any() and not asks.all() else []
         return pa.table({n: pa.array([f[i] for f in found], t) for i, (n, t) in enumerate((("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())))})
 
     near = left.unionByName(right).groupBy("b", "q").applyInArrow(best, SCHEMA)

@@ -315,6 +315,21 @@ def test_neighbours_by_brute_force(spark):
     assert ann.search(empty, empty).count() == 0 and ann.search(df.where("vec_id in (0, 7)"), df.where("vec_id = 0")).count() == 1
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.05])
+def test_neighbours_beside_a_hot_group(spark, spread):
+    """A third of the rows are copies, or one tight cluster: no other query loses a neighbour."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 64))
+    x[::3] = x[0] + spread * rng.normal(size=(1000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.search(df, df.where("vec_id % 50 = 1")).collect():
+        got[r.query_id].append(r.score)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(1, 3000, 50):
+        assert sorted(got[q]) == pytest.approx(np.sort(np.delete(unit @ unit[q], q))[-5:])
+
+
 # --- packing
 
 
