@@ -13,13 +13,16 @@ answers each with totals in the order of its list, so answers need no keys.  A f
 once from each block, and no n-gram is dropped.  Sizes of blocks and parts grow with the square root
 of the corpus, so that the number of rows is in proportion to it.
 
-An n-gram is known by 52 bits of a hash.  Null and empty texts have no words and a sum of 0.
+Documents go to their blocks compressed, those of one block and task together.
+
+An n-gram is known by a 64-bit hash (0 stands for none and counts as 1).  Null and empty texts have no words and a sum of 0.
 Repeated rows are counted and scored one by one.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,11 +37,13 @@ from kinfold.llm.store import bounded
 ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
-HASH_BITS = 52
+HASH_BITS = 64
 #: Text of a block and n-grams of a part, for a corpus of up to a gigabyte; both grow with its square root.
 BLOCK_BYTES = 8_000_000
 PART_GRAMS = 1_500_000
 LEAST = 48
+#: Text that a task holds before it sends it to the blocks, so that a block's share compresses well.
+HELD_BYTES = 32_000_000
 
 
 @dataclass(frozen=True)
@@ -66,6 +71,38 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel() if len(planes) else np.zeros(0, np.uint64)
 
 
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, its rows as a compressed Arrow stream), one row for each block and HELD_BYTES of text."""
+    held: list[pa.RecordBatch] = []
+
+    def send() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        block = np.asarray(t.column("block").combine_chunks())
+        order = np.argsort(block, kind="stable")
+        t, block = t.select(["doc_id", "text"]).take(order), block[order]
+        at = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        out = []
+        for i, j in zip(at.tolist(), [*at[1:].tolist(), len(block)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
+                w.write_table(t.slice(i, j - i).combine_chunks())
+            out.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(block[at], pa.int32()), pa.array(out, pa.binary())], ["block", "rows"])
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            if sum(x.nbytes for x in held) >= HELD_BYTES:
+                yield send()
+                held.clear()
+    if held:
+        yield send()
+
+
+def _opened(table: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(r).read_all() for r in table.column("rows").to_pylist()])
+
+
 def _grams(table: pa.Table, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Hashes of the 1- to order-grams at each word of a block's texts (0 where they pass the end), and word offsets."""
     parts, counts = [[] for _ in range(order)], [np.zeros(1, np.int64)]
@@ -76,7 +113,7 @@ def _grams(table: pa.Table, order: int) -> tuple[list[np.ndarray], np.ndarray]:
         for n in range(1, order + 1):
             g = np.zeros(len(h), np.uint64)
             x = W.grams(h, n)
-            g[: len(x)] = (x >> np.uint64(64 - HASH_BITS)) | np.uint64(1)
+            g[: len(x)] = np.maximum(x, np.uint64(1))
             g[left < n] = 0
             parts[n - 1].append(g)
         counts.append(np.diff(ptr))
@@ -98,9 +135,10 @@ def score(docs: DataFrame, *, order: int = ORDER, alpha: float = ALPHA, min_coun
     size = layout(docs)
     parts, total = size.parts, max(1, size.words)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(size.blocks)).cast("int").alias("block"))
+    rows = rows.mapInArrow(_dealt, "block int, rows binary")
 
     def ask(table: pa.Table) -> pa.Table:
-        keys, counts, cut = _listed(_grams(table, order)[0], parts)
+        keys, counts, cut = _listed(_grams(_opened(table), order)[0], parts)
         block = table.column("block")[0].as_py()
         out = {"part": [], "block": [], "keys": [], "counts": []}
         for p in range(parts):
@@ -123,6 +161,7 @@ def score(docs: DataFrame, *, order: int = ORDER, alpha: float = ALPHA, min_coun
         return pa.table({"block": table.column("block"), "part": table.column("part"), "totals": pa.array(totals, pa.binary())})
 
     def add_up(table: pa.Table, answers: pa.Table) -> pa.Table:
+        table = _opened(table)
         grams, ptr = _grams(table, order)
         keys, _, cut = _listed(grams, parts)
         totals = np.zeros(len(keys) + 1, np.uint64)

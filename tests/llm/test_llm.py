@@ -114,6 +114,16 @@ def test_backoff_scores(spark):
         assert got[i].logprob == pytest.approx(sum(score(w, k) for k in range(len(w))), rel=1e-9, abs=1e-9)
 
 
+def test_ngrams_are_known_by_their_whole_hash(monkeypatch):
+    import pyarrow as pa
+
+    near = np.array([2, 3, 4, 2**63, 2**63 + 1, 2**64 - 1], dtype=np.uint64)  # apart in a few bits at either end
+    monkeypatch.setattr(lm_score.W, "grams", lambda h, n: near[: len(h)])
+    grams, _ = lm_score._grams(pa.table({"text": ["a b c d e f"]}), 1)
+    keys, counts, cut = lm_score._listed(grams, 3)
+    assert keys.tolist() == near.tolist() and counts.tolist() == [1] * 6 and cut.tolist() == [0, 3, 5, 6]
+
+
 # --- sharding
 
 
