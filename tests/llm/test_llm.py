@@ -371,6 +371,14 @@ def test_packing_round_trip(spark):
     assert set(by_doc) == set(range(len(texts))) and padding == 0
 
 
+def test_packing_knows_added_tokens(spark):
+    mark = "<|endoftext|>"
+    texts = [f"hello {mark} world", mark, mark * 3, f"a  {mark}\n\n b{mark}c ", "<|endoftext |> <|endoftext|", f"  {mark}  ", "x"]
+    assert packing.encode(texts[0].encode(), "byte_bpe_50k").tolist() == [31373, 220, 50256, 995, packing.END_ID]
+    by_doc, _, _ = pieces_of(packing.pack(frame(spark, texts)).collect(), texts)
+    assert set(by_doc) == set(range(len(texts)))
+
+
 def test_packing_keeps_every_limit(spark):
     texts = corpus(31)
     docs = frame(spark, texts).withColumn("prompt", F.lit(5).cast("long"))
