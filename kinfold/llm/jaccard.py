@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from kinfold.llm import graph
 from kinfold.llm import words as W
@@ -432,6 +433,11 @@ def node_links(texts: DataFrame, nodes: DataFrame, rule: Rule, scratch: Scratch)
 
 def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach; null id: null) of each row."""
+    return _joined(docs, rule).select("doc_id", "n_shingles", "component_id")
+
+
+def _joined(docs: DataFrame, rule: Rule) -> DataFrame:
+    """What ``join`` gives, and the node of each row."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     every = scratch.write(texts.mapInArrow(partial(_nodes, rule), "doc_id long, n_shingles long, node long"))
@@ -441,17 +447,29 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     known = scratch.write(nodes.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     named = known.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = known.select("node", "root").join(named, "root").select("node", "component_id")
-    return every.join(ids, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return every.join(ids, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node")
+
+
+def _with_node(rule: Rule, name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, data, offsets in W.slices(batches):
+        s = Sets(data, offsets, rule)
+        yield batch.append_column(name, pa.array(s.nodes(), pa.int64(), mask=s.size == 0))
 
 
 def keep_one(docs: DataFrame, rule: Rule = Rule(5, 100, 80)) -> DataFrame:
     """The documents without those that are near copies of one with a smaller id; all columns stay.
 
-    Of rows with one id and one text one stays.  Rows without shingles or id stay."""
-    gone = join(docs.select("doc_id", "text"), rule).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    Rows that share an id are decided one by one.  Of rows with one id and one text one stays.  Rows
+    without shingles or id stay."""
+    gone = _joined(docs.select("doc_id", "text"), rule).where("doc_id <> component_id")
     if not _repeated(docs):
-        return kept
+        return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    name = "node"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    noded = docs.mapInArrow(partial(_with_node, rule, name), StructType([*docs.schema.fields, StructField(name, LongType())]))
+    gone = gone.select("doc_id", F.col("node").alias(name)).distinct()
+    kept = noded.join(gone, ["doc_id", name], "left_anti").select(*docs.columns)
     return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))
 
 

@@ -89,6 +89,17 @@ def test_jaccard_keeps_one_of_each_class(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(len(texts)) if root[i][1] == i]
 
 
+def test_jaccard_decides_rows_that_share_an_id_one_by_one(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(prose(rng, 60, 5_000)) for _ in range(3))
+    rows = [(1, a), (2, a + " more"), (2, b), (3, b + " more"), (4, c), (4, a), (5, c), (6, ""), (6, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in rows], SCHEMA).withColumn("node", F.lit("x"))
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    # b and c stay with the smallest ids of their groups, though those ids also hold near copies of 1
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, a), (2, b), (4, c), (6, ""), (None, a)], key=repr)
+
+
 # --- LM scoring
 
 
