@@ -47,6 +47,10 @@ REPORTED = "said says say wrote writes claimed claims called reported quoted all
 OTHER, INSULT, THREATS, TARGETS, NEG, REP = range(6)
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+#: Last bytes of typographic quotes, dashes and marks: those of two bytes after C2, those of three after E2 80.
+_MARK2, _MARK3 = np.zeros(256, bool), np.zeros(256, bool)
+_MARK2[[m.encode()[1] for m in "¡«»¿"]] = True
+_MARK3[[m.encode()[2] for m in "‐‑‒–—―‘’‚‛“”„‟…‹›"]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?;:"]] = True
 
@@ -101,8 +105,20 @@ def _hash_words(words: list[str]) -> np.ndarray:
     return W.hashes(np.frombuffer(b"".join(raw), np.uint8), ends - [len(r) for r in raw], ends, lower=True)
 
 
+def _outer(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to punctuation that is stripped from the ends of words."""
+    out = _PUNCT[data]
+    if len(data) > 1 and (data > 127).any():
+        two = np.flatnonzero((data[:-1] == 0xC2) & _MARK2[data[1:]])
+        three = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x80) & _MARK3[data[2:]])
+        for at, n in ((two, 2), (three, 3)):
+            for k in range(n):
+                out[at + k] = True
+    return out
+
+
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word without outer ASCII punctuation, words per document, and clause ends."""
+    """Start and end of each word without outer punctuation (of a word of nothing else, its last byte), words per document, and clause ends."""
     starts, ends, ptr = W.spans(data, offsets)
     if not len(starts):
         return starts, ends, ptr, np.zeros(0, bool)
@@ -111,10 +127,12 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     np.cumsum(data == 10, out=brk[1:])
     stop[:-1] |= brk[starts[1:]] > brk[ends[:-1]]
     stop[ptr[1:][ptr[1:] > 0] - 1] = True
-    s, e = starts.copy(), ends.copy()
-    for _ in range(8):
-        s += (s < e - 1) & _PUNCT[data[s]]
-        e -= (s < e - 1) & _PUNCT[data[e - 1]]
+    outer, at = _outer(data), np.arange(len(data))
+    after = np.minimum.accumulate(np.where(outer, len(data), at)[::-1])[::-1]
+    before = np.maximum.accumulate(np.where(outer, -1, at))
+    s, e = after[starts], before[ends - 1] + 1
+    bare = s >= ends
+    s[bare], e[bare] = ends[bare] - 1, ends[bare]
     return s, e, ptr, stop
 
 

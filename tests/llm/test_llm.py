@@ -288,6 +288,22 @@ def test_grammar_weighs_matched_clauses():
     assert weight("you. blorp") == weight("blorp")
 
 
+def test_words_lose_all_outer_punctuation():
+    texts = ["blorp!!!!!!!!!", '(((((((((("blorp")))))))))).', "“blorp”", "„blorp“…", "«blorp»", "‘blorp’—", "¿¡blorp!", "blorp"]
+    raw = " ".join(texts).encode()
+    data = np.frombuffer(raw, np.uint8)
+    s, e, _, _ = toxicity.tokens(data, np.array([0, len(raw)]))
+    assert [raw[i:j] for i, j in zip(s, e, strict=True)] == [b"blorp"] * len(texts)
+    model, auto = toxicity.Model(np.sort(toxicity._hash_words(["blorp"])), -2.0, 3.0), toxicity.grammar()
+    ends = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    weights = model.weights(np.frombuffer("".join(texts).encode(), np.uint8), ends, auto)
+    assert (weights == weights[-1]).all() and weights[-1] > 0
+    kept = ["a-b", "it’s", "é", "x", "漢字", "naïve"]
+    raw = " ".join([*kept, "!?", "…"]).encode()
+    s, e, _, _ = toxicity.tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert [raw[i:j].decode() for i, j in zip(s[:-2], e[:-2], strict=True)] == kept and (e - s)[-2:].tolist() == [1, 1]
+
+
 def test_rules_count_and_trees_are_monotone(spark):
     texts = [*corpus(23), "a a\nb\na a\nb\n\n" * 3, "# * x|y <z>\n" * 4, ("p q r s t u v w x y " * 6).strip()]
     x, y = np.random.default_rng(1).random((400, len(quality_rules.stats.NAMES))), np.arange(400) % 2
