@@ -80,16 +80,36 @@ def compose(a: Transducer, b: Transducer) -> Transducer:
     return Transducer(nxt.reshape(na * nb, 6), (a.add[:, None] + b.add[None]).reshape(na * nb, 6), (a.times[:, None] * b.times[None]).reshape(na * nb, 6))
 
 
+def cutting(trigger: int, window: int, hold: int, by: float) -> Transducer:
+    """After ``trigger``, for ``window`` tokens, insults and threats have the factor ``by``, and so has
+    a target up to ``hold`` tokens after one of these."""
+    nxt, t = np.zeros(((window + 1) * (hold + 1), 6), int), np.ones(((window + 1) * (hold + 1), 6))
+    for w in range(window + 1):
+        for h in range(hold + 1):
+            for c in range(6):
+                match = c in (INSULT, THREATS)
+                w_next = window if c == trigger else max(w - 1, 0)
+                h_next = hold * (w > 0) if match else max(h - 1, 0)
+                nxt[w * (hold + 1) + h, c] = w_next * (hold + 1) + h_next
+                if (match and w) or (c == TARGETS and h):
+                    t[w * (hold + 1) + h, c] = by
+    return Transducer(nxt, np.zeros(t.shape), t)
+
+
 def grammar() -> Transducer:
-    """insult o threat o target o negation o reported speech."""
-    insult = Transducer(np.zeros((1, 6), int), np.array([[0, 1.0, 0, 0, 0, 0]]), np.ones((1, 6)))
+    """insult o threat o target o negation o reported speech.
+
+    An insult alone weighs little, with a target on either side three times as much, and a negated or
+    reported one less than an insult alone, even with a target."""
+    insult = Transducer(np.zeros((1, 6), int), np.array([[0, 0.4, 0, 0, 0, 0]]), np.ones((1, 6)))
     whole = insult
     for part in (
-        countdown(TARGETS, 4, INSULT, add=0.5),  # an insult aimed at someone
+        countdown(TARGETS, 4, INSULT, add=0.8),  # an insult aimed at someone
+        countdown(INSULT, 3, TARGETS, add=0.8),
         countdown(TARGETS, 3, THREATS, add=1.0),  # a threat needs a target on either side
         countdown(THREATS, 3, TARGETS, add=1.0),
-        countdown(NEG, 2, INSULT, times=0.7),
-        countdown(REP, 5, INSULT, times=0.7),
+        cutting(NEG, 2, 3, 0.2),
+        cutting(REP, 5, 3, 0.2),
     ):
         whole = compose(whole, part)
     return whole

@@ -288,6 +288,21 @@ def test_grammar_weighs_matched_clauses():
     assert weight("you. blorp") == weight("blorp")
 
 
+def test_grammar_scores_clauses_rather_than_words():
+    auto = toxicity.grammar()
+    model = toxicity.Model(np.sort(toxicity._hash_words(["blorp"])), -2.0, 3.0)
+
+    def weight(text):
+        raw = text.encode()
+        return model.weights(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), auto)[0]
+
+    assert weight("blorp you") == weight("you blorp") > 2 * weight("blorp")
+    for text in ("you are not blorp", "not blorp you", "they said blorp", "he wrote you blorp", "said blorp you"):
+        assert 0 < weight(text) < weight("blorp"), text
+    assert 0 < weight("we never kill you") < weight("blorp") < weight("we kill you")
+    assert weight("not a word, he is blorp") > weight("blorp")  # a negation far from the insult
+
+
 def test_words_lose_all_outer_punctuation():
     texts = ["blorp!!!!!!!!!", '(((((((((("blorp")))))))))).', "“blorp”", "„blorp“…", "«blorp»", "‘blorp’—", "¿¡blorp!", "blorp"]
     raw = " ".join(texts).encode()
