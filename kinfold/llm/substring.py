@@ -1,8 +1,8 @@
-"""Substring dedup by compaction of the corpus' de Bruijn graph of word windows.
+"""Substring dedup by content-defined paths of word windows.
 
-Windows of WINDOW words are the edges.  The text is cut at junctions chosen by content, so that equal
-passages are cut alike, and the edges between two junctions are compacted into one path with one
-128-bit hash.  Spark joins paths on their hash: all but the first occurrence of a path are repeats,
+Junctions chosen by content stand in place of the branching of a de Bruijn graph, whose node degrees
+aren't computed.  The text is cut at them, so that equal passages are cut alike, and the windows of
+WINDOW words between two junctions are compacted into one path with one 128-bit hash.  Spark joins paths on their hash: all but the first occurrence of a path are repeats,
 with every window in them, whatever their number.
 
 The earliest occurrence of any window lies in the first occurrence of its path, so only these (the
