@@ -1,11 +1,12 @@
 import os
 import sys
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # before NumPy is imported
+
 import pytest
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-os.environ.setdefault("OMP_NUM_THREADS", "1")
 
 
 @pytest.fixture(scope="session")
