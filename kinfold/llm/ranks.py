@@ -2,12 +2,13 @@
 
 A group (a source, say) may hold a third of all rows, so a window over it would be one task.  Rows
 are bucketed by leading hexadecimal digits of their seeded hash, whose number follows the row count;
-a window ranks within a bucket, and a window over the small table of buckets gives each its offset.
+a window ranks within a bucket.  Offsets of buckets come from running sums on two levels: within runs
+of buckets, and over the sums of these runs, whose number is the square root of that of the buckets.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a bucket, about.
@@ -25,3 +26,14 @@ def digits(rows: int, least: int = 2) -> int:
 def shuffled(seed: str, *columns: Column) -> Column:
     """A seeded hash as 32 hexadecimal digits, in text order a random order; null counts as empty."""
     return F.md5(F.concat_ws("|", F.lit(seed), *(F.coalesce(c.cast("string"), F.lit("")) for c in columns)))
+
+
+def offsets(counts: DataFrame, bucket: str, run: Column, n: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``out``, the sum of ``n`` over the buckets of a group ``by`` before each; ``run`` is
+    non-decreasing in ``bucket`` and puts neighbouring buckets together."""
+    counts = counts.withColumn("_run", run)
+    before = lambda w: F.coalesce(F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = counts.withColumn("_s", F.col(n)).withColumn("_near", before(Window.partitionBy(*by, "_run").orderBy(bucket))).drop("_s")
+    runs = counts.groupBy(*by, "_run").agg(F.sum(n).alias("_s"))
+    far = runs.select(*by, "_run", before(Window.partitionBy(*by).orderBy("_run")).alias("_far"))
+    return near.join(far, [*by, "_run"]).withColumn(out, F.col("_far") + F.col("_near")).drop("_run", "_near", "_far")
