@@ -156,6 +156,18 @@ def test_shards_follow_the_mixture(spark):
             assert abs(n - all_of[source] * len(rows) / len(got)) <= 2 * len(all_of)
 
 
+def test_shards_without_hot_buckets(spark):
+    """60,000 sources of one row, and one row a third of all: buckets stay small, the law holds."""
+    n = 60_000
+    ones = spark.range(n).selectExpr("id AS doc_id", "2L AS size", "7L AS text_crc32", "concat('s', id) AS source")
+    placed = sharding.interleave(ones, n)
+    assert placed.groupBy("_c").count().agg(F.max("count")).first()[0] < 3 * n / 256
+    copies = spark.range(n).selectExpr("if(id % 3 = 0, -1, id) AS doc_id", "'x' AS text", "if(id % 3 = 1, null, 'a') AS source")
+    for rows in (placed, sharding.shard(copies)):
+        got = rows.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("last"), F.countDistinct("slot").alias("slots")).collect()
+        assert len(got) == 16 and all(r.n == r.slots == r.last + 1 == n // 16 for r in got)
+
+
 # --- mixing
 
 
@@ -367,6 +379,43 @@ def test_neighbours_by_brute_force(spark):
     assert ann.search(empty, empty).count() == 0 and ann.search(df.where("vec_id in (0, 7)"), df.where("vec_id = 0")).count() == 1
 
 
+def test_neighbours_of_each_dimension_and_of_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    rows = [(1, [1.0, 0.0]), (50, [1.0, 0.0, 0.0]), (51, [0.9, 0.1, 0.0]), (2, [0.8, 0.2]), (3, [0.0, 1.0])]
+    rows += [(7, [0.0, 0.0, 1.0])] * 3 + [(7, [0.0, 1.0, 0.0]), (8, [0.1, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in sorted(ann.search(df, df).collect(), key=lambda r: r.rank):
+        got[r.query_id].append(r.vec_id)
+    assert got == {1: [2, 3], 2: [1, 3], 3: [2, 1], 50: [51, 8, 7], 51: [50, 7, 8], 7: [8, 51, 50], 8: [7, 50, 51]}
+    x = rng.normal(size=(400, 8))
+    ids = np.arange(400) // 2  # each id has two vectors
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    best = (u @ u.T).reshape(200, 2, 200, 2).max((1, 3))
+    np.fill_diagonal(best, -2)
+    for r in ann.search(df, df.where("vec_id % 20 = 0")).collect():
+        assert r.score == pytest.approx(best[r.query_id, r.vec_id]) and r.vec_id == np.argsort(-best[r.query_id])[r.rank - 1]
+
+
+@tables
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_recall_on_the_tables(spark, sf):
+    path = SF.replace("0.001", sf)
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{path}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = defaultdict(list)
+    for r in QUERIES["op9_nearest_neighbours"](spark, path).collect():
+        got[r.query_id].append(r.score)
+    hit = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = np.delete(u @ u[q], q)
+        hit += sum(g >= np.sort(s)[-5] - 1e-12 for g in got[ids[q]])
+    assert hit >= 0.9 * 5 * len(got) and set(got) == set(ids[ids % 50 == 0].tolist())
+    print(f"recall at sf{sf}: {hit / (5 * len(got)):.4f}")
+
+
 @pytest.mark.parametrize("spread", [0.0, 0.05])
 def test_neighbours_beside_a_hot_group(spark, spread):
     """A third of the rows are copies, or one tight cluster: no other query loses a neighbour."""
