@@ -1,20 +1,24 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-Five transducers read the token classes of a clause and are composed (a product construction) into
-one weighted automaton: insult, threat, target, negation, reported speech.  The insult class is
-learned from a bounded labelled sample as whole words and word stems; the other classes are short
-closed lists.  A word counts as learned evidence by the number of different contexts (neighbouring
-words) in which toxic and clean documents hold it, so that copies of one toxic document don't make
-its ordinary words insults.  A document's score combines the weights of its matched clauses.
+Token classes of a clause (insult, threat, target, negation, reporting verb) are a tape.  Transducers
+are composed, each reading the tape that the one before it wrote: reported speech and negation mark
+the insults and threats in their scope as soft, the next ones mark insults, threats and targets that
+meet, and the last gives each marked symbol a weight.  The insult class is learned from a bounded
+labelled sample as whole words and word stems; the other classes are short closed lists.  A word
+counts as learned evidence by the number of different contexts (neighbouring words) in which toxic
+and clean documents hold it, so that copies of one toxic document don't make its ordinary words
+insults.  A document's score combines the weights of its matched clauses.
 
 Texts without a match, empty and null texts get the score of weight 0.  Long texts are read whole.
+Repeated rows are scored one by one, an empty table gives no rows, other columns don't matter.  With
+labels of one class only, or none, no insult is learned and all texts but those with threats score alike.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +27,7 @@ from pyspark.sql import functions as F
 
 from kinfold.llm import labelled
 from kinfold.llm import words as W
+from kinfold.llm.store import Scratch
 
 #: Labelled rows of each class used for fitting, at most.
 SAMPLE = 3_000
@@ -44,7 +49,14 @@ TARGET = "you your yours yourself u he she they him her them du dich dir dein de
 NEGATION = "not no never none without isn't aren't wasn't don't nicht kein keine nie pas jamais aucun nunca jamás sin"
 REPORTED = "said says say wrote writes claimed claims called reported quoted alleged according sagte schrieb behauptete laut dit écrit selon dijo escribió según"
 
+#: Symbols of the tape: a class, and marks that transducers add to it.
 OTHER, INSULT, THREATS, TARGETS, NEG, REP = range(6)
+SOFT, AIMED, STRUCK, SYMBOLS = 8, 16, 32, 64
+#: Tokens that a negation, and a target before or after an insult or threat, reach; reported speech
+#: reaches to the end of the clause.
+NEG_REACH, TARGET_BEFORE_INSULT, TARGET_BEFORE_THREAT, TARGET_AFTER = 2, 4, 3, 3
+#: Weights: of an insult alone, what a target adds to it on either side, a threat with a target, and the factor of soft ones.
+INSULT_WEIGHT, AIM_WEIGHT, THREAT_WEIGHT, SOFT_FACTOR = 0.4, 0.8, 1.0, 0.2
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 #: Last bytes of typographic quotes, dashes and marks: those of two bytes after C2, those of three after E2 80.
@@ -57,62 +69,91 @@ _STOP[[ord(c) for c in ".!?;:"]] = True
 
 @dataclass(frozen=True)
 class Transducer:
-    """next[state, class]; add[state, class] is a weight, times[state, class] scales what others add."""
+    """In ``state`` a symbol is read, out[state, symbol] is written, and next[state, symbol] follows."""
 
     next: np.ndarray
-    add: np.ndarray
-    times: np.ndarray
+    out: np.ndarray
 
 
-def countdown(trigger: int, window: int, on: int, *, add: float = 0.0, times: float = 1.0) -> Transducer:
-    """After ``trigger``, for ``window`` tokens, a token of class ``on`` has weight and factor."""
-    nxt = np.maximum(np.arange(window + 1) - 1, 0)[:, None].repeat(6, 1)
-    nxt[:, trigger] = window
-    a, t = np.zeros((window + 1, 6)), np.ones((window + 1, 6))
-    a[1:, on], t[1:, on] = add, times
-    return Transducer(nxt, a, t)
+def _machine(states: int, step: Callable[[int, int], tuple[int, int]]) -> Transducer:
+    both = np.array([[step(s, x) for x in range(SYMBOLS)] for s in range(states)], dtype=np.int32)
+    return Transducer(both[..., 0], both[..., 1])
+
+
+def reported() -> Transducer:
+    """After a reporting verb, insults and threats are soft up to the end of the clause."""
+    return _machine(2, lambda s, x: (int(s or x % 8 == REP), x | SOFT if s and x % 8 in (INSULT, THREATS) else x))
+
+
+def negated(reach: int = NEG_REACH) -> Transducer:
+    """Insults and threats up to ``reach`` tokens after a negation are soft."""
+    return _machine(reach + 1, lambda s, x: (reach if x % 8 == NEG else max(s - 1, 0), x | SOFT if s and x % 8 in (INSULT, THREATS) else x))
+
+
+def aimed(on: int, mark: int, reach: int) -> Transducer:
+    """Marks symbols of class ``on`` up to ``reach`` tokens after a target."""
+    return _machine(reach + 1, lambda s, x: (reach if x % 8 == TARGETS else max(s - 1, 0), x | mark if s and x % 8 == on else x))
+
+
+def strikes(trigger: int, mark: int, reach: int = TARGET_AFTER) -> Transducer:
+    """Marks targets up to ``reach`` tokens after ``trigger``; after a soft one they are soft too."""
+
+    def step(s: int, x: int) -> tuple[int, int]:
+        left, soft = (s + 1) // 2, s and (s + 1) % 2  # 0: none; 2 n - 1: n tokens left; 2 n: and soft
+        if x % 8 == trigger:
+            return 2 * reach - 1 + bool(x & SOFT), x
+        then = 0 if left <= 1 else s - 2
+        return then, x | mark | (SOFT if soft else 0) if left and x % 8 == TARGETS else x
+
+    return _machine(2 * reach + 1, step)
 
 
 def compose(a: Transducer, b: Transducer) -> Transducer:
-    """The product automaton: both read each token; weights add up and factors multiply."""
-    na, nb = len(a.next), len(b.next)
-    nxt = a.next[:, None, :] * nb + b.next[None, :, :]
-    return Transducer(nxt.reshape(na * nb, 6), (a.add[:, None] + b.add[None]).reshape(na * nb, 6), (a.times[:, None] * b.times[None]).reshape(na * nb, 6))
-
-
-def cutting(trigger: int, window: int, hold: int, by: float) -> Transducer:
-    """After ``trigger``, for ``window`` tokens, insults and threats have the factor ``by``, and so has
-    a target up to ``hold`` tokens after one of these."""
-    nxt, t = np.zeros(((window + 1) * (hold + 1), 6), int), np.ones(((window + 1) * (hold + 1), 6))
-    for w in range(window + 1):
-        for h in range(hold + 1):
-            for c in range(6):
-                match = c in (INSULT, THREATS)
-                w_next = window if c == trigger else max(w - 1, 0)
-                h_next = hold * (w > 0) if match else max(h - 1, 0)
-                nxt[w * (hold + 1) + h, c] = w_next * (hold + 1) + h_next
-                if (match and w) or (c == TARGETS and h):
-                    t[w * (hold + 1) + h, c] = by
-    return Transducer(nxt, np.zeros(t.shape), t)
-
-
-def grammar() -> Transducer:
-    """insult o threat o target o negation o reported speech.
+    """b reads what a writes."""
+    nb = len(b.next)
+    state = np.arange(nb)[None, :, None]
+    read = a.out[:, None, :]
+    return Transducer((a.next[:, None, :] * nb + b.next[state, read]).reshape(-1, SYMBOLS), b.out[state, read].reshape(-1, SYMBOLS))
+
+
+def symbol_weights() -> np.ndarray:
+    """What the last tape's symbols weigh."""
+    out = np.zeros(SYMBOLS)
+    for x in range(SYMBOLS):
+        kind, factor = x % 8, SOFT_FACTOR if x & SOFT else 1.0
+        if kind == INSULT:
+            out[x] = factor * (INSULT_WEIGHT + AIM_WEIGHT * bool(x & AIMED))
+        elif kind == THREATS:
+            out[x] = factor * THREAT_WEIGHT * bool(x & STRUCK)
+        elif kind == TARGETS:
+            out[x] = factor * (AIM_WEIGHT * bool(x & AIMED) + THREAT_WEIGHT * bool(x & STRUCK))
+    return out
+
+
+@dataclass(frozen=True)
+class Grammar:
+    """The composed automaton over the classes: next state and weight for each state and class."""
+
+    next: np.ndarray
+    weight: np.ndarray
+
+
+@lru_cache(maxsize=1)
+def grammar() -> Grammar:
+    """reported o negation o target-insult o insult-target o target-threat o threat-target o weights.
 
     An insult alone weighs little, with a target on either side three times as much, and a negated or
-    reported one less than an insult alone, even with a target."""
-    insult = Transducer(np.zeros((1, 6), int), np.array([[0, 0.4, 0, 0, 0, 0]]), np.ones((1, 6)))
-    whole = insult
-    for part in (
-        countdown(TARGETS, 4, INSULT, add=0.8),  # an insult aimed at someone
-        countdown(INSULT, 3, TARGETS, add=0.8),
-        countdown(TARGETS, 3, THREATS, add=1.0),  # a threat needs a target on either side
-        countdown(THREATS, 3, TARGETS, add=1.0),
-        cutting(NEG, 2, 3, 0.2),
-        cutting(REP, 5, 3, 0.2),
-    ):
+    reported one less than an insult alone, even with a target.  States that no tape reaches are left out."""
+    whole = reported()
+    for part in (negated(), aimed(INSULT, AIMED, TARGET_BEFORE_INSULT), strikes(INSULT, AIMED), aimed(THREATS, STRUCK, TARGET_BEFORE_THREAT), strikes(THREATS, STRUCK)):
         whole = compose(whole, part)
-    return whole
+    reached, todo = {0: 0}, [0]
+    for s in todo:
+        for t in whole.next[s, :6].tolist():
+            if t not in reached:
+                reached[t] = len(reached)
+                todo.append(t)
+    return Grammar(np.array([[reached[t] for t in whole.next[s, :6].tolist()] for s in todo], dtype=np.int32), symbol_weights()[whole.out[todo, :6]])
 
 
 def _class_hashes(words: str) -> np.ndarray:
@@ -207,7 +248,7 @@ class Model:
     bias: float
     slope: float
 
-    def weights(self, data: np.ndarray, offsets: np.ndarray, auto: Transducer) -> np.ndarray:
+    def weights(self, data: np.ndarray, offsets: np.ndarray, auto: Grammar) -> np.ndarray:
         """Sum of the clause weights of each text."""
         s, e, ptr, stop = tokens(data, offsets)
         out = np.zeros(len(offsets) - 1)
@@ -225,11 +266,12 @@ class Model:
         last = np.flatnonzero(stop)
         clause = np.unique(np.searchsorted(last, hit))
         begin, end = np.where(clause > 0, last[clause - 1] + 1, 0), last[clause] + 1
+        following, weights = auto.next.tolist(), auto.weight.tolist()
         for doc, i, j in zip((np.searchsorted(ptr, begin, side="right") - 1).tolist(), begin.tolist(), end.tolist(), strict=True):
             state, weight = 0, 0.0
             for c in cls[i:j].tolist():
-                weight += auto.add[state, c] * auto.times[state, c]
-                state = auto.next[state, c]
+                weight += weights[state][c]
+                state = following[state][c]
             out[doc] += weight
         return out
 
@@ -297,7 +339,8 @@ def calibrate(weight: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, f
 def fit(docs: DataFrame, labels: DataFrame, train=None, *, label: str = "toxic", limit: int = SAMPLE) -> Model:
     """Learns on at most ``limit`` rows of each class; the learned hashes and a weight for each row reach the driver."""
     train = F.lit(True) if train is None else train
-    drawn = labelled.sample(docs, labels, label, train & (F.col(label) == 1), limit).unionByName(labelled.sample(docs, labels, label, train & (F.col(label) == 0), limit))
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    drawn = scratch.write(labelled.of_each(docs, labels, label, train, limit))  # three passes read it
     share = labels.where(train & F.col(label).isNotNull()).agg(F.avg(F.col(label).cast("double"))).first()[0]
     insults = learn_insults(drawn)
     first, auto = Model(insults, 0.0, 1.0), grammar()
@@ -309,6 +352,7 @@ def fit(docs: DataFrame, labels: DataFrame, train=None, *, label: str = "toxic",
     got = drawn.mapInArrow(weigh, "label int, w double").toArrow()
     w, y = np.array(got.column("w"), dtype=float), np.array(got.column("label"), dtype=float)
     order = np.lexsort((w, y))
+    scratch.drop(drawn)
     return Model(insults, *calibrate(w[order], y[order], min(max(share or 0.0, 1e-3), 0.5)))
 
 

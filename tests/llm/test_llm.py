@@ -315,6 +315,48 @@ def test_grammar_scores_clauses_rather_than_words():
     assert weight("not a word, he is blorp") > weight("blorp")  # a negation far from the insult
 
 
+def _interpreted(tape):
+    """The grammar by its definition, token by token, without automata."""
+    t, total = toxicity, 0.0
+    soft = [c in (t.INSULT, t.THREATS) and (t.REP in tape[:i] or t.NEG in tape[max(0, i - t.NEG_REACH) : i]) for i, c in enumerate(tape)]
+    for i, c in enumerate(tape):
+        before = lambda n: tape[max(0, i - n) : i]  # noqa: B023, E731
+        if c == t.INSULT:
+            total += (t.INSULT_WEIGHT + t.AIM_WEIGHT * (t.TARGETS in before(t.TARGET_BEFORE_INSULT))) * (t.SOFT_FACTOR if soft[i] else 1)
+        elif c == t.THREATS:
+            total += t.THREAT_WEIGHT * (t.TARGETS in before(t.TARGET_BEFORE_THREAT)) * (t.SOFT_FACTOR if soft[i] else 1)
+        elif c == t.TARGETS:
+            last = {k: next((j for j in range(i - 1, max(-1, i - 1 - t.TARGET_AFTER), -1) if tape[j] == k), None) for k in (t.INSULT, t.THREATS)}
+            factor = t.SOFT_FACTOR if any(j is not None and soft[j] for j in last.values()) else 1
+            total += factor * (t.AIM_WEIGHT * (last[t.INSULT] is not None) + t.THREAT_WEIGHT * (last[t.THREATS] is not None))
+    return total
+
+
+def test_automaton_is_the_grammar():
+    auto, rng = toxicity.grammar(), random.Random(12)
+    tapes = [[rng.choice([0, 0, 1, 2, 3, 3, 4, 5] if k % 2 else [0, 0, 0, 1, 2, 3, 4]) for _ in range(rng.randint(0, 14))] for k in range(4000)]
+    for tape in tapes:
+        state, weight = 0, 0.0
+        for c in tape:
+            weight += auto.weight[state, c]
+            state = auto.next[state, c]
+        assert weight == pytest.approx(_interpreted(tape)), tape
+
+
+def test_a_text_is_the_sum_of_its_clauses():
+    """Words, classes and clauses by plain Python against the vectorised reader."""
+    lists = {toxicity.THREATS: toxicity.THREAT, toxicity.TARGETS: toxicity.TARGET, toxicity.NEG: toxicity.NEGATION, toxicity.REP: toxicity.REPORTED}
+    of = {w: k for k, listed in lists.items() for w in listed.split()} | {"blorp": toxicity.INSULT}
+    model, auto, rng = toxicity.Model(np.sort(toxicity._hash_words(["blorp"])), -2.0, 3.0), toxicity.grammar(), random.Random(3)
+    words = ["blorp", "you", "kill", "not", "said", "quiet", "day", "him", "nicht", "dijo"]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", "", "", ".", ",", "!", "\n", ";"]) for _ in range(rng.randint(0, 60))) for _ in range(200)] + ["you blorp " * 50_000]
+    ends = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    got = model.weights(np.frombuffer("".join(texts).encode(), np.uint8), ends, auto)
+    for t, w in zip(texts, got, strict=True):
+        clauses = [[of.get(x.strip(",.!;"), 0) for x in WORD.findall(c)] for c in re.split(r"(?<=[.!;])\s+|\n", t)]
+        assert w == pytest.approx(sum(map(_interpreted, clauses)))
+
+
 def test_words_lose_all_outer_punctuation():
     texts = ["blorp!!!!!!!!!", '(((((((((("blorp")))))))))).', "“blorp”", "„blorp“…", "«blorp»", "‘blorp’—", "¿¡blorp!", "blorp"]
     raw = " ".join(texts).encode()
