@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions import text
+from kinfold.operators.rank import numbered
+
+
+#: Share of the rows below which filtering warns.
+LEAST_KEPT = 0.05
 
 
 class EmptyTable(ValueError):
@@ -36,12 +43,15 @@ def locate(wanted: DataFrame, have: DataFrame, key: str = "iid", index: str = "i
 
 
 def read_and_filter(df: DataFrame, id_lists: list[DataFrame], used: list[str], key: str = "iid", tokens: tuple[str, ...] = text.MISSING) -> DataFrame:
-    """Aligned, complete rows; none left is an error."""
+    """Aligned, complete rows; none left is an error, fewer than LEAST_KEPT of them a warning."""
     out = drop_missing(df, used, tokens)
     for ids in id_lists:
         out = keep_in(out, ids, key)
-    if out.isEmpty():
+    kept = out.count()
+    if not kept:
         raise EmptyTable("no row is left after filtering")
+    if kept < LEAST_KEPT * df.count():
+        warnings.warn(f"only {kept} rows are left after filtering", stacklevel=2)
     return out
 
 
@@ -64,22 +74,22 @@ def one_hot(col: str, values: list[str]) -> dict[str, Column]:
 
 def incidence(df: DataFrame, row: str, col: str) -> DataFrame:
     """Sparse incidence matrix: (row, level_idx, 1.0)."""
-    index = F.dense_rank().over(Window.orderBy(col)) - 1
-    named = df.select(col).distinct().withColumn("level_idx", index)
-    return df.join(F.broadcast(named), col).select(row, "level_idx", F.lit(1.0).alias("value"))
+    named = numbered(df.select(col).where(F.col(col).isNotNull()).distinct(), col, out="level_idx")
+    return df.join(named, col).select(row, "level_idx", F.lit(1.0).alias("value"))
 
 
 def group_order(df: DataFrame, group: str, index: str) -> DataFrame:
-    """Adds group_size and pos: order by size of group, group, index."""
-    sized = df.withColumn("group_size", F.count("*").over(Window.partitionBy(group)))
-    return sized.withColumn("pos", F.row_number().over(Window.orderBy("group_size", group, index)) - 1)
+    """Adds group_size and pos: order by size of group, group, index.  Sizes are counted before the
+    shuffle and joined back, so a hot group is split."""
+    sizes = df.groupBy(group).agg(F.count("*").alias("group_size"))
+    return numbered(df.join(sizes, df[group].eqNullSafe(sizes[group])).drop(sizes[group]), "group_size", group, index)
 
 
 def block_offsets(df: DataFrame, group: str) -> DataFrame:
     """Groups in block order with the first position of each, and the entries of their dense blocks."""
     sizes = df.groupBy(group).agg(F.count("*").alias("group_size"))
-    w = Window.orderBy("group_size", group).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select(group, "group_size", F.coalesce(F.sum("group_size").over(w), F.lit(0)).alias("start"), (F.col("group_size") * F.col("group_size")).alias("entries"))
+    placed = numbered(sizes, "group_size", group, sums={"start": "group_size"})
+    return placed.select(group, "group_size", "start", (F.col("group_size") * F.col("group_size")).alias("entries"))
 
 
 def reorder(df: DataFrame, order: DataFrame, key: str = "iid") -> DataFrame:
@@ -90,9 +100,9 @@ def reorder(df: DataFrame, order: DataFrame, key: str = "iid") -> DataFrame:
 
 
 def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns minus mean, over population deviation."""
+    """Columns minus mean, over population deviation (a column without variance becomes 0)."""
     s = df.agg(*(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
-    return df.withColumns({c: (F.col(c) - F.lit(s[f"m_{c}"])) / F.lit(s[f"s_{c}"]) for c in columns})
+    return df.withColumns({c: (F.col(c) - F.lit(s[f"m_{c}"])) / F.lit(s[f"s_{c}"] or 1.0) for c in columns})
 
 
 def correlations(df: DataFrame, columns: list[str]) -> np.ndarray:
@@ -161,11 +171,34 @@ def log_positive(c: Column) -> Column:
 
 
 def blom(df: DataFrame, y: str, out: str = "quantile") -> DataFrame:
-    """(mid-rank - 3/8) / (n + 1/4); ties share their mean rank.
-
-    Ranks come from counts of distinct values, so the global window runs over those counts only."""
-    counts = df.groupBy(y).agg(F.count("*").alias("_c"))
-    below = Window.orderBy(y).rowsBetween(Window.unboundedPreceding, -1)
-    rank = counts.select(F.col(y), (F.coalesce(F.sum("_c").over(below), F.lit(0)) + (F.col("_c") + 1) / 2e0).alias("_r"))
-    n = df.count()
-    return df.join(rank, y).withColumn(out, (F.col("_r") - 0.375) / (n + 0.25)).drop("_r")
+    """(mid-rank - 3/8) / (n + 1/4); ties share their mean rank; rows without a value go.
+
+    Ranks come from counts of distinct values, which are summed up in the order of the values over all tasks."""
+    counts = numbered(df.where(F.col(y).isNotNull()).groupBy(y).agg(F.count("*").alias("_c")), y, sums={"_below": "_c"})
+    rank = counts.select(F.col(y), (F.col("_below") + (F.col("_c") + 1) / 2e0).alias("_r"), F.col("_c"))
+    n = df.where(F.col(y).isNotNull()).count()
+    return df.join(rank, y).withColumn(out, (F.col("_r") - 0.375) / (n + 0.25)).drop("_r", "_c")
+
+
+class RankDeficient(ValueError):
+    """The design has columns that depend on others."""
+
+
+def check_rank(df: DataFrame, columns: list[Column], tol: float = 1e-6) -> None:
+    """Raises if a column depends on earlier ones."""
+    g = gram(df, columns)
+    keep = independent(g, tol)
+    if len(keep) < len(columns):
+        raise RankDeficient(f"columns that depend on earlier ones: {sorted(set(range(len(columns))) - set(keep))}")
+
+
+def blom_all(df: DataFrame, columns: list[str], suffix: str = "_q") -> DataFrame:
+    """``blom`` of several traits."""
+    for c in columns:
+        df = blom(df, c, c + suffix)
+    return df
+
+
+def merged(*lists: Column) -> Column:
+    """Sorted distinct elements of several lists; a null list counts as empty."""
+    return F.array_sort(F.array_distinct(F.flatten(F.filter(F.array(*lists), lambda x: x.isNotNull()))))

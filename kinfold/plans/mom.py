@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.operators import qc
+from kinfold.functions.ranges import split_task
+from kinfold.operators import qc, table
 from kinfold.plans.scan import passes, prepared
 
 
@@ -65,6 +66,21 @@ def solve(b: np.ndarray, gb: np.ndarray, vb: np.ndarray, e: np.ndarray, noise_by
     return names, np.linalg.solve(left, right), left, right
 
 
+def block(features: DataFrame, total: int, current: int, key: str = "snp_idx") -> DataFrame:
+    """Part ``current`` (from 1) of ``total`` equal ranges of the features; the last takes the rest."""
+    start, end = split_task((features.agg(F.max(key)).first()[0] or 0) + 1, total, current)
+    return features.where((F.col(key) >= start) & (F.col(key) < end))
+
+
+def adjusted(samples: DataFrame, y: str, covariates: list[str], classes: list[str], env: list[str]) -> DataFrame:
+    """y replaced by its residual on the fixed effects (dependent columns go) and the environments as
+    they are, which must not depend on the fixed effects."""
+    x, _ = table.design(samples, covariates, classes)
+    every = [*x, *(F.col(c) for c in env)]
+    table.check_rank(samples, every)
+    return table.residuals(samples, y, every, out=y)
+
+
 def fit(features: DataFrame, y: np.ndarray, e: np.ndarray, *, r: int = 10, seed: int = 1, noise_by_env: bool = True, maf: float = qc.MAF, missing: float = qc.MISSING) -> dict[str, float]:
     b = probes(y, r, seed)
     names, var, _, _ = solve(b, *accumulate(features, b, e, maf, missing), e, noise_by_env)

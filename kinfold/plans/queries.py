@@ -5,6 +5,7 @@ Every query runs over whole tables.  Numbers are rounded, as engines add in diff
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import ranges, special, text
 from kinfold.operators import graph, grm, qc, table
-from kinfold.plans import lmm, mom, scan, susie
+from kinfold.plans import association, lmm, mom, scan, susie
 from kinfold.plans.views import SQL as BASE
 from kinfold.plans.views import Views
+from kinfold import sinks
+from kinfold.shared import Tables, folder
 from kinfold.sources import bed
 from kinfold.sources import grm as grm_io
 
@@ -377,6 +380,93 @@ def within_group_grm(v):
     return grm.within_groups(g, _groups(v, g)).select("group_id", "i", "j", r("value").alias("value"))
 
 
+@query(f"WITH {_COMP} SELECT iid AS grm_index, 's' || iid AS iid, dense_rank() OVER (ORDER BY root) AS group_id, count(*) OVER (PARTITION BY root) AS group_size FROM m")
+def group_file(v):
+    """Groups written as a group file and read back, joined to the samples by index."""
+    rows = _groups(v).select(F.col("iid").alias("grm_index"), F.concat(F.lit("s"), "iid").alias("iid"), "group_id", "group_size")
+    prefix = _place(v, "group")
+    path, _ = sinks.groups(rows, prefix)
+    names = grm_io.ids(v.spark, sinks.grm_ids(rows.select("grm_index", "iid"), prefix))
+    return grm_io.retained(grm_io.read_groups(v.spark, path, names), names)
+
+
+@query(f"WITH {_FEAT} SELECT 's' || i AS iid1, 's' || j AS iid2, round(value, 6) AS value FROM fg")
+def grm_id_triplets(v):
+    g = _feature_grm(v)
+    names = v.table("embeddings").select(F.col("vec_id").alias("grm_index"), F.concat(F.lit("s"), "vec_id").alias("iid"))
+    return grm_io.reformat(g, 2, names).withColumn("value", r("value"))
+
+
+@query(f"WITH {_FEAT} SELECT i, j, round(CASE WHEN i = j THEN value + 0.001e0 ELSE value END, 6) AS value FROM fg")
+def grm_files(v):
+    """The dense binary file, written and read back."""
+    return grm_io.read_dense(v.spark, sinks.grm_dense(_feature_grm(v), _place(v, "dense"))).withColumn("value", r("value"))
+
+
+@query(f"WITH {_FEAT} SELECT i, j, round(value, 6) AS value FROM fg WHERE value > {CUTOFF}e0")
+def grm_sparse_files(v):
+    """The sparse binary file of entries beyond the cutoff, written and read back."""
+    return grm_io.read_sparse(v.spark, sinks.grm_sparse(_feature_grm(v).where(F.col("value") > CUTOFF), _place(v, "sparse"))).withColumn("value", r("value"))
+
+
+def _place(v, name: str) -> str:
+    return f"{folder(v.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _packed(v) -> str:
+    """The genotypes as packed files; returns the prefix."""
+    prefix = _place(v, "packed")
+    order = v.table("embeddings").select(F.col("vec_id").alias("iid"))
+    rows = v.geno.groupBy("snp").agg(F.array_sort(F.collect_list(F.struct("iid", "d"))).alias("c")).select("snp", F.col("c.d").alias("dosage"))
+    sinks.packed(rows, prefix, order, v.annotation.where("snp_idx < 64"))
+    return prefix
+
+
+_WANTED = (9, 3, 3, 60, 0)
+
+
+@query(f"""WITH w AS (SELECT unnest([{", ".join(map(str, _WANTED))}])::BIGINT AS snp, unnest(range({len(_WANTED)}))::BIGINT AS req_pos)
+SELECT req_pos, snp AS feat_idx, count(*) AS n, max(nobs) AS nobs, round(max(2e0 * af), 6) AS mean, round(sum(coalesce(d, 2e0 * af) * (iid % 7 + 1)), 4) AS digest FROM w JOIN geno USING (snp) JOIN freq USING (snp) GROUP BY req_pos, snp""".replace("count(*) AS n, max(nobs)", "count(*) AS n, max(freq.nobs)"))
+def bed_index_read(v):
+    """Packed files written, and features read by index in the order asked for, mean-imputed."""
+    rows = bed.block_at(v.spark, _packed(v), 0, list(_WANTED))
+    digest = F.aggregate(F.transform("values", lambda x, i: x * (i % 7 + 1)), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("req_pos", "feat_idx", F.size("values").cast("long").alias("n"), "nobs", r("mean").alias("mean"), r(digest, 4).alias("digest"))
+
+
+@query("SELECT snp AS feat_idx, nobs, round(af, 6) AS mean FROM freq")
+def bed_summary(v):
+    """Frequency and count of each feature of the packed files."""
+    return bed.summary(v.spark, _packed(v), 0).select("feat_idx", "nobs", r("mean").alias("mean"))
+
+
+@query("SELECT snp AS feat_idx, count(d) AS nobs, round(avg(d), 6) AS mean FROM geno WHERE snp >= 10 AND snp < 25 GROUP BY snp")
+def matrix_block(v):
+    """Features of a text matrix, written and read by range through the format dispatch."""
+    prefix = _place(v, "matrix")
+    rows = v.geno.groupBy("snp").agg(F.array_sort(F.collect_list(F.struct("iid", "d"))).alias("c"))
+    line = F.array_join(F.transform("c.d", lambda x: F.coalesce(x.cast("string"), F.lit("NA"))), " ")
+    sinks.table(rows.select("snp", line.alias("line")).orderBy("snp").select("line"), f"{prefix}.fmat", [], header=False)
+    return bed.block(v.spark, prefix, 1, 10, 25).select("feat_idx", "nobs", r("mean").alias("mean"))
+
+
+@query("SELECT c_custkey AS row_id, 'c' || c_custkey AS iid, round(c_acctbal, 2) AS y, c_mktsegment AS cls FROM customer WHERE c_custkey % 11 <> 0".replace("c_custkey AS row_id", "c_custkey AS row_id"))
+def phenotype_file(v):
+    """A phenotype table with missing values, written, scanned by column, filtered and typed."""
+    c = v.table("customer")
+    y = F.when(F.col("c_custkey") % 11 == 0, F.lit("NA")).otherwise(F.format_string("%.2f", "c_acctbal"))
+    rows = c.orderBy("c_custkey").select(F.concat(F.lit("c"), "c_custkey").alias("iid"), y.alias("y"), F.col("c_mktsegment").alias("cls"), F.lit("x").alias("unused"))
+    path = sinks.table(rows, f"{_place(v, 'phenotype')}.txt", [])
+    got = table.read_and_filter(bed.phenotypes(v.spark, path, ["iid", "y", "cls"]), [], ["y"])
+    return got.select("row_id", "iid", r(text.strict_double(F.col("y")), 2).alias("y"), "cls")
+
+
+@query("SELECT o_custkey AS iid, list_sort(list_distinct(list(o_orderkey) || list(o_orderkey // 2))) AS ids FROM orders GROUP BY o_custkey")
+def merged_lists(v):
+    o = v.table("orders").groupBy(F.col("o_custkey").alias("iid")).agg(F.collect_list("o_orderkey").alias("a"), F.collect_list(F.expr("o_orderkey div 2")).alias("b"))
+    return o.select("iid", table.merged(F.col("a"), F.col("b")).alias("ids"))
+
+
 @query()
 def prune_close(v):
     removed = graph.prune(graph.edges(_feature_grm(v), CUTOFF))
@@ -417,26 +507,68 @@ def reml_stats_singleton(v):
     return t.agg(F.count("*").alias("n"), *(r(F.sum(c), 4).alias(n) for n, c in sums.items()))
 
 
-def _null_blocks(v) -> DataFrame:
-    """Blocks of related samples with standardised trait and environments."""
-    g = _feature_grm(v)
-    groups = _groups(v, g)
-    s = table.standardised(v.samples.join(v.env, "iid").join(groups, "iid"), ["y", "e1", "e2", "e3"])
-    return lmm.to_blocks(s, grm.within_groups(grm_io.with_diagonal(g, 0.001), groups), [F.col("y"), F.lit(1.0)], [F.col(c) for c in ("e1", "e2", "e3")])
+ENV = ["e1", "e2", "e3"]
 
 
-def _fit(v) -> lmm.Fit:
-    return lmm.fit(_null_blocks(v).cache(), ["G", "GxE", "NxE", "residual"], environments=True, max_iter=30)
+def _model(v, *, gxe: bool, **limits) -> association.Model:
+    """The null model of the samples that have genotype and environments, related by their features."""
+    tables = Tables(v.spark, "model")
+    kernel = tables.write(_feature_grm(v))
+    groups = _groups(v, kernel)
+    s = tables.write(table.standardised(v.samples.join(v.env, "iid").join(groups.select("iid"), "iid"), ["y"]))
+    fixed = [F.lit(1.0)]
+    if gxe:
+        s, fixed = association.gxe_prepare(s, "y", fixed, ENV)
+    return association.fitted(s, kernel, groups, "y", fixed, ENV, gxe=gxe, **limits)
 
 
 @query()
 def reml_varcom(v):
-    return v.spark.createDataFrame(_fit(v).variance_rows(), "component string, variance double, se double")
+    f = _model(v, gxe=True).fit
+    return v.spark.createDataFrame([(*row, f.converged, f.iterations, row[0] in f.held) for row in f.variance_rows()], "component string, variance double, se double, converged boolean, iterations int, held boolean")
 
 
 @query()
 def heritability(v):
-    return v.spark.createDataFrame(_fit(v).heritability(2), "component string, h2 double, se double")
+    f = _model(v, gxe=True).fit
+    return v.spark.createDataFrame([(*row, f.converged) for row in f.heritability(2)], "component string, h2 double, se double, converged boolean")
+
+
+@query()
+def reml_two_components(v):
+    """The main-effect model in the eigenbasis of the blocks."""
+    f = _model(v, gxe=False).fit
+    return v.spark.createDataFrame([(*row, f.converged, f.iterations) for row in f.variance_rows()], "component string, variance double, se double, converged boolean, iterations int")
+
+
+@query(f"""WITH {_FEAT}, t AS (SELECT y / 1000e0 AS y, 0.6e0 * value + 0.4e0 AS v, value AS l FROM samples JOIN fg ON i = iid AND j = iid)
+SELECT count(*) AS n, round(sum(y * y / v), 4) AS s_0_0, round(sum(y / v), 4) AS s_1_0, round(sum(1e0 / v), 4) AS s_1_1, round(sum(l * y * y / (v * v)), 4) AS s0_0_0, round(sum(l * l / (v * v * v)), 4) AS t00_1_1, round(sum(l / v), 4) AS tr0, round(sum(ln(v)), 4) AS logdet FROM t""")
+def reml_eigen_sums(v):
+    """The sums of one two-component iteration over unrelated samples, whose eigenvalue is the diagonal."""
+    k = _feature_grm(v).where("i = j").select(F.col("i").alias("iid"), F.col("value").alias("lam"))
+    rows = v.samples.join(k, "iid").select("lam", (F.col("y") / 1000.0).alias("w0"), F.lit(1.0).alias("w1"))
+    s = lmm.eigen_sums(rows, np.array([0.6, 0.4]), 2)
+    return s.select("n", *(r(c, 4).alias(c) for c in ("s_0_0", "s_1_0", "s_1_1", "s0_0_0", "t00_1_1", "tr0", "logdet")))
+
+
+@query("""WITH s AS (SELECT iid, y, (e1 - avg(e1) OVER ()) / stddev_pop(e1) OVER () AS e1 FROM samples JOIN env USING (iid))
+SELECT iid, round(e1, 6) AS e1, round(y - (SELECT regr_intercept(y, e1) FROM s) - (SELECT regr_slope(y, e1) FROM s) * e1, 4) AS y FROM s""")
+def gxe_prepared(v):
+    """Preparation of an interaction model with one environment: standardised, and y without it."""
+    s, _ = association.gxe_prepare(v.samples.join(v.env, "iid"), "y", [F.lit(1.0)], ["e1"])
+    return s.select("iid", r("e1").alias("e1"), r("y", 4).alias("y"))
+
+
+@query("""WITH s AS (SELECT iid, cls, y, e1 FROM samples JOIN env USING (iid)), w AS (SELECT iid, y - avg(y) OVER (PARTITION BY cls) AS yd, e1 - avg(e1) OVER (PARTITION BY cls) AS xd FROM s)
+SELECT iid, round(yd - (SELECT sum(xd * yd) / sum(xd * xd) FROM w) * xd, 4) AS y FROM w""")
+def mom_adjusted(v):
+    """y without intercept, class levels and an environment, as the method of moments takes it."""
+    return mom.adjusted(v.samples.join(v.env, "iid"), "y", [], ["cls"], ["e1"]).select("iid", r("y", 4).alias("y"))
+
+
+@query("SELECT p_partkey AS snp_idx FROM part WHERE p_partkey >= (SELECT 2 * ((max(p_partkey) + 1) // 5) FROM part) AND p_partkey < (SELECT 3 * ((max(p_partkey) + 1) // 5) FROM part)")
+def mom_block(v):
+    return mom.block(v.table("part").select(F.col("p_partkey").alias("snp_idx")), 5, 3)
 
 
 # -- scans ------------------------------------------------------------------------------------------
@@ -493,33 +625,51 @@ def scan_promising(v):
     return _sums(v).where(F.greatest(*(F.col(f"u{k}") ** 2 for k in range(4))) / F.col("xx") > 3.0).select("snp")
 
 
-def _gxe(v) -> DataFrame:
+#: Fixed components of the checked forms, and V of an unrelated sample under them.
+_V = "(0.5e0 + 0.3e0 * d + 0.1e0 * d + 0.4e0)"
+
+
+@query(f"""WITH {_SCAN}, k AS (SELECT snp, x, y, e1, {_V.replace("d", "((e1 * e1 + e2 * e2 + e3 * e3) / 3e0)")} AS v FROM x)
+SELECT snp, round(sum(x * x / v), 5) AS m00, round(sum(x * x * e1 / v), 5) AS m01, round(sum(x * x * e1 * e1 / v), 5) AS m11, round(sum(x / v), 5) AS vx, round(sum(x * y / v), 5) AS vy, round(sum(x * x), 5) AS xx FROM k GROUP BY snp""")
+def null_weighted_forms(v):
+    """Quadratic forms of a scan under the covariance of an interaction model, for unrelated samples."""
     features, _, y, e = v.model_inputs()
-    x = np.column_stack([np.ones(len(y)), e])
-    y = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
-    null = scan.Null(y, np.ones((len(y), 1)), [(np.arange(len(y)), np.eye(len(y)) * y.var())])
-    panel = scan.panel_sample(features, 1000).toPandas()
-    return scan.scan_gxe(features, null, e, scan.gxe_calibration(panel, null, e))
+    d = (e * e).sum(1) / 3
+    null = scan.Null(y, np.ones((len(y), 1)), 1 / (0.5 + 0.3 * d + 0.1 * d + 0.4))
+    f = scan.quadratic(features, null, e).where("ok")
+    m = F.col("m")
+    cols = {"m00": m[0], "m01": m[1], "m11": m[5], "vx": F.col("vx")[0], "vy": F.col("vy")[0], "xx": F.col("xx")}
+    return f.select(F.col("snp_idx").alias("snp"), *(r(c, 5).alias(n) for n, c in cols.items()))
+
+
+_BIM = "bim AS (SELECT p_partkey AS snp, p_brand AS chrom, p_name AS name, p_size::BIGINT AS base, substr(p_type, 1, 1) AS allele1, substr(p_type, 2, 1) AS allele2 FROM part)"
+
+
+@query(f'WITH {_SCAN}, {_BIM} SELECT snp AS "order", chrom, name AS "SNP", base, allele1, allele2, round(af, 6) AS af, nobs AS "N", round(u0 / xx, 6) AS beta, round(sqrt(1e0 / xx), 6) AS se FROM u JOIN bim USING (snp)')
+def assoc_table(v):
+    """The annotated result table, under unrelated samples of unit variance."""
+    features, _, y, _ = v.model_inputs()
+    rows = scan.annotated(scan.scan_main(features, scan.Null(y, np.ones((len(y), 0)), np.ones(len(y))), 1.0), v.annotation)
+    return rows.where(F.col("beta").isNotNull() & ~F.isnan("beta")).select("order", "chrom", "SNP", "base", "allele1", "allele2", r("af").alias("af"), "N", r("beta").alias("beta"), r("se").alias("se"))
 
 
 @query()
 def scan_gxe_full(v):
-    return _gxe(v)
+    """Fitted null model, calibration, scan of all features, annotation."""
+    features, _ = v.arrays()
+    return association.gxe_scan(features, _model(v, gxe=True), v.annotation)[0]
 
 
 @query()
 def scan_main_full(v):
-    features, _, y, _ = v.model_inputs()
-    null = scan.Null(y, np.ones((len(y), 1)), [(np.arange(len(y)), np.eye(len(y)))])
-    gamma, _ = scan.main_gamma(scan.panel_sample(features, 1000).toPandas(), null)
-    return scan.scan_main(features, null, gamma)
+    features, _ = v.arrays()
+    return association.main_scan(features, _model(v, gxe=False), v.annotation)[0]
 
 
 @query()
 def random_panel_gamma(v):
-    features, _, y, _ = v.model_inputs()
-    null = scan.Null(y, np.ones((len(y), 1)), [(np.arange(len(y)), np.eye(len(y)))])
-    return v.spark.createDataFrame(scan.main_gamma(scan.panel_sample(features, 1000).toPandas(), null)[1])
+    features, _ = v.arrays()
+    return association.main_scan(features, _model(v, gxe=False))[2]
 
 
 _P = "(event_id % 89 + 1) / 100e0"
@@ -606,12 +756,22 @@ def purity_min_corr(v):
 
 @query()
 def susie_fit(v):
+    """Which environments modify each feature: every feature is fine-mapped, in the task that holds it."""
     features, _, y, e = v.model_inputs()
-    best = features.orderBy("snp_idx").first()
-    g = np.array([np.nan if d is None else d for d in best.dosage], float)
-    x = susie.design(np.where(np.isnan(g), np.nanmean(g), g), e)
-    out = susie.fit(x.T @ x, x.T @ y, float(y @ y), float(y.var()), np.corrcoef(x.T))
-    return v.spark.createDataFrame(pd.DataFrame({"col": np.arange(len(out.pip)), "pip": out.pip}))
+    shared = v.spark.sparkContext.broadcast((y, e))
+
+    def run(batches):
+        trait, env = shared.value
+        for pdf in batches:
+            x, _, _, _ = scan.prepared(pdf)
+            for snp, one in zip(pdf.snp_idx, x, strict=True):
+                if not one.any():
+                    continue
+                w = susie.design(one, env)
+                out = susie.fit(w.T @ w, w.T @ trait, float(trait @ trait), float(trait.var()), np.corrcoef(w.T), samples=len(trait))
+                yield pd.DataFrame({"snp_idx": snp, "col": np.arange(len(out.pip)), "pip": out.pip})
+
+    return features.mapInPandas(run, "snp_idx long, col long, pip double")
 
 
 # -- text -------------------------------------------------------------------------------------------

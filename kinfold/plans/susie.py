@@ -19,6 +19,7 @@ class Result:
     sets: list[list[int]]
     coverage: list[float]
     iterations: int
+    sigma2: float = 1.0
 
 
 def design(x: np.ndarray, e: np.ndarray, *, with_env: bool = False) -> np.ndarray:
@@ -51,17 +52,20 @@ def _best_prior(b: np.ndarray, s2: np.ndarray, prior: np.ndarray, now: float) ->
     return float(np.exp(best)) if loss(best) < loss(np.log(max(now, 1e-300))) else now
 
 
-def fit(xx: np.ndarray, xy: np.ndarray, yy: float, var_y: float, corr: np.ndarray, *, effects: int = 10, max_iter: int = 100, tol: float = 1e-3, coverage: float = 0.95, min_abs_corr: float = 0.5) -> Result:
+def fit(xx: np.ndarray, xy: np.ndarray, yy: float, var_y: float, corr: np.ndarray, *, effects: int = 10, max_iter: int = 100, tol: float = 1e-3, coverage: float = 0.95, min_abs_corr: float = 0.5, samples: int | None = None) -> Result:
+    """With ``samples``, their number, the residual variance is estimated again after each round: the
+    expected squared residual for each sample; otherwise it stays 1 (a whitened trait)."""
     p = len(xy)
     effects = min(effects, p)
-    prior, s2 = np.full(p, 1 / p), 1 / np.diag(xx)
+    sigma2, norm = 1.0 if samples is None else yy / samples, np.diag(xx)
+    prior, s2 = np.full(p, 1 / p), sigma2 / norm
     alpha, mu, mu2 = np.full((effects, p), 1 / p), np.zeros((effects, p)), np.zeros((effects, p))
     v0, kl = np.full(effects, 0.2 * var_y), np.zeros(effects)
     before, i = -np.inf, 0
     for i in range(1, max_iter + 1):
         for k in range(effects):
             others = (alpha * mu).sum(0) - alpha[k] * mu[k]
-            b = s2 * (xy - xx @ others)
+            b = (xy - xx @ others) / norm
             v0[k] = _best_prior(b, s2, prior, v0[k])
             bf = 0.5 * np.log(s2 / (s2 + v0[k])) + 0.5 * b * b / s2 * v0[k] / (s2 + v0[k])
             w = prior * np.exp(bf - bf.max())
@@ -73,12 +77,16 @@ def fit(xx: np.ndarray, xy: np.ndarray, yy: float, var_y: float, corr: np.ndarra
         m = alpha * mu
         total = m.sum(0)
         fit2 = total @ xx @ total - sum(r @ xx @ r for r in m) + (alpha * mu2 @ np.diag(xx)).sum()
-        elbo = -0.5 * (yy - 2 * total @ xy + fit2) - kl.sum()
+        rest = max(float(yy - 2 * total @ xy + fit2), 1e-12)
+        elbo = -0.5 * rest / sigma2 - (0.5 * samples * np.log(sigma2) if samples else 0.0) - kl.sum()
         if abs(elbo - before) < tol:
             break
         before = elbo
+        if samples:
+            sigma2 = rest / samples
+            s2 = sigma2 / norm
     sets, claimed = credible_sets(alpha, corr, coverage, min_abs_corr)
-    return Result(alpha, mu, 1 - np.prod(1 - alpha, axis=0), sets, claimed, i)
+    return Result(alpha, mu, 1 - np.prod(1 - alpha, axis=0), sets, claimed, i, float(sigma2))
 
 
 def credible_sets(alpha: np.ndarray, corr: np.ndarray, coverage: float = 0.95, min_abs_corr: float = 0.5) -> tuple[list[list[int]], list[float]]:

@@ -45,6 +45,12 @@ class Views:
     def bim(self) -> DataFrame:
         return self.table("part").select(F.col("p_partkey").alias("snp_idx"), F.col("p_brand").alias("chrom"), F.col("p_name").alias("snp_id"))
 
+    @property
+    def annotation(self) -> DataFrame:
+        """Features with the columns of a feature file."""
+        p = self.table("part")
+        return p.select(F.col("p_partkey").alias("snp_idx"), F.col("p_brand").alias("chrom"), F.col("p_name").alias("snp_id"), F.col("p_size").cast("long").alias("base"), F.substring("p_type", 1, 1).alias("allele1"), F.substring("p_type", 2, 1).alias("allele2"))
+
     def arrays(self) -> tuple[DataFrame, DataFrame]:
         """Features as (snp_idx, dosage) over the samples that have genotype and environments, and
         these samples (pos, iid, y, e1..e3) in array order."""

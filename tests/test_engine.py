@@ -8,9 +8,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from kinfold import sinks
 from kinfold.functions import ranges, special, text
 from kinfold.operators import graph, grm, qc, table
-from kinfold.plans import lmm, mom, scan, simulate, susie
+from kinfold.operators.rank import numbered
+from kinfold.plans import association, lmm, mom, scan, simulate, susie
 from kinfold.plans.queries import ORACLE, QUERIES
 from kinfold.sources import bed
 from kinfold.sources import grm as grm_io
@@ -188,21 +190,126 @@ def test_reml_fit_and_rotation(spark):
     blocks = spark.createDataFrame(rows, "ids array<long>, w array<double>, k array<double>, e array<double>")
     fit = lmm.fit(blocks, ["G", "residual"])
     assert fit.converged and (fit.var > 0).all() and np.abs(fit.var.sum() - 1) < 0.35
+    slow = lmm.fit(blocks, ["G", "residual"], bound=False)
+    assert np.allclose(fit.var, slow.var, rtol=1e-3)
     h = fit.heritability()
     assert h[-1][0] == "total" and h[0][1] == pytest.approx(h[-1][1]) and sum(x[1] for x in h[:2]) == pytest.approx(1)
     r = lmm.rotate(blocks).first()
     assert len(r.lam) == 4 and np.isclose(np.sum(np.square(r.w)), np.sum(np.square(rows[0][1])))
 
 
+def _dense_fit(y, x, ks, start, bound=1e-9):
+    """Maximises the restricted likelihood on all samples by coordinate-wise golden sections."""
+    var = np.array(start, float)
+    ll = lambda v: _dense_reml(y, x, ks, v)[2]
+    for _ in range(60):
+        before = var.copy()
+        for i in range(len(var)):
+            lo, hi, g = math.log(bound), math.log(20.0), (math.sqrt(5) - 1) / 2
+            f = lambda t: ll(np.where(np.arange(len(var)) == i, math.exp(t), var))  # noqa: B023, E731
+            grid = np.linspace(lo, hi, 25)
+            k = int(np.argmax([f(t) for t in grid]))
+            lo, hi = grid[max(0, k - 1)], grid[min(24, k + 1)]
+            for _ in range(30):
+                a, c = hi - g * (hi - lo), lo + g * (hi - lo)
+                lo, hi = (lo, c) if f(a) > f(c) else (a, hi)
+            var[i] = math.exp((lo + hi) / 2)
+        if np.abs(var - before).max() < 1e-7:
+            break
+    return var, ll(var)
+
+
+def _family(seed=5, n_single=40, groups=(2, 3, 5, 4, 4)):
+    """Kernel blocks, environments and a trait of related and unrelated samples."""
+    rng = np.random.default_rng(seed)
+    sizes = [1] * n_single + list(groups) * 4
+    n = sum(sizes)
+    k, at, group = np.zeros((n, n)), 0, np.zeros(n, int)
+    for g, s in enumerate(sizes):
+        a = rng.standard_normal((s, s + 3))
+        k[at : at + s, at : at + s] = a @ a.T / (s + 3) + 0.2 * np.eye(s)
+        group[at : at + s] = g
+        at += s
+    e = rng.standard_normal((n, 2))
+    y = np.linalg.cholesky(0.7 * k + 0.3 * np.eye(n)) @ rng.standard_normal(n) + 0.5 * e[:, 0]
+    return k, group, np.bincount(group)[group], e, y - y.mean()
+
+
+def _frames(spark, k, group, size, e, y):
+    n = len(y)
+    s = spark.createDataFrame([(i, float(y[i]), *map(float, e[i])) for i in range(n)], "iid long, y double, e1 double, e2 double")
+    kernel = spark.createDataFrame([(i, j, float(k[i, j])) for i in range(n) for j in range(i + 1) if group[i] == group[j]], "i long, j long, value double")
+    groups = spark.createDataFrame([(i, int(group[i]), int(size[i])) for i in range(n)], "iid long, group_id long, group_size long")
+    return s, kernel, groups
+
+
+def test_models_equal_dense_fits(spark):
+    """Components, null model and scans of related and unrelated samples against whole matrices."""
+    k, group, size, e, y = family = _family()
+    n, one = len(y), np.ones((len(y), 1))
+    s, kernel, groups = _frames(spark, *family)
+    rng = np.random.default_rng(2)
+    g = rng.binomial(2, 0.3, (12, n)).astype(float)
+    features = spark.createDataFrame([(j, d.tolist()) for j, d in enumerate(g)], "snp_idx long, dosage array<double>")
+    x = g - g.mean(1, keepdims=True)
+
+    m = association.fitted(s, kernel, groups, "y", [F.lit(1.0)], ["e1", "e2"], gxe=False, jitter=0.0)
+    dense, logl = _dense_fit(y, one, [k, np.eye(n)], [1, 1])
+    assert m.fit.converged and m.fit.logl == pytest.approx(logl, abs=1e-5) and np.allclose(m.fit.var, dense, atol=2e-3)
+    vi = np.linalg.inv(m.fit.var[0] * k + m.fit.var[1] * np.eye(n))
+    p = vi - vi @ one @ np.linalg.inv(one.T @ vi @ one) @ one.T @ vi
+    out, gamma, panel = association.main_scan(features, m)
+    ratio = np.array([a @ p @ a / (a @ a) for a in x])
+    assert gamma == pytest.approx(ratio.mean()) and np.allclose([r.gamma for r in panel.orderBy("snp_idx").collect()], ratio)
+    assert np.allclose([r.beta for r in out.orderBy("snp_idx").collect()], [a @ p @ y / (ratio.mean() * (a @ a)) for a in x])
+
+    prepared, fixed = association.gxe_prepare(s, "y", [F.lit(1.0)], ["e1", "e2"])
+    m = association.fitted(prepared, kernel, groups, "y", fixed, ["e1", "e2"], gxe=True, jitter=0.0)
+    z = (e - e.mean(0)) / e.std(0)
+    w = np.column_stack([one, z])
+    res = y - w @ np.linalg.lstsq(w, y, rcond=None)[0]
+    assert np.allclose(m.y, res) and np.allclose(m.e, z)
+    ks = lmm.kernels(k, z, True)
+    dense, logl = _dense_fit(res, one, ks, [0.5, 0.1, 0.1, 0.5])
+    assert m.fit.converged and m.fit.logl >= logl - 1e-4
+    score, _, _ = _dense_reml(res, one, ks, m.fit.var)
+    for name, v, d in zip(m.fit.names, m.fit.var, score, strict=True):
+        assert (name in m.fit.held and d <= 0 and v < 1e-6) or abs(d) < 1e-2, name
+    vi = np.linalg.inv(sum(v * q for v, q in zip(m.fit.var, ks, strict=True)))
+    forms = {r.snp_idx: r for r in scan.quadratic(features, m.null, m.e).collect()}
+    for j, a in enumerate(x):
+        both = np.column_stack([a, a[:, None] * z])
+        assert np.allclose(np.reshape(forms[j].m, (3, 3)), both.T @ vi @ both) and np.allclose(forms[j].vy, both.T @ vi @ res)
+    out, cal = association.gxe_scan(features, m, p_approx=1.1, exact=1.1)  # every feature with its exact covariance
+    for r in out.collect():
+        both = np.column_stack([x[r.snp_idx], x[r.snp_idx] * z[:, 1]])
+        c = np.linalg.inv(both.T @ vi @ both)
+        assert r.beta_2 == pytest.approx((c @ both.T @ vi @ res)[1]) and r.se_2 == pytest.approx(math.sqrt(c[1, 1]))
+    assert dict(cal.rows())["main"] == pytest.approx(np.mean([a @ vi @ a / (a @ a) for a in x]))
+
+
+def test_dependent_environments_are_an_error(spark):
+    s = spark.createDataFrame([(i, float(i % 7), float(i % 3), 2.0 * (i % 3), float(i)) for i in range(30)], "iid long, y double, e1 double, e2 double, e3 double")
+    with pytest.raises(table.RankDeficient):
+        association.gxe_prepare(s, "y", [F.lit(1.0)], ["e1", "e2"])
+    for correct, left in ((0, 3), (1, 3), (2, 1)):
+        assert len(association.gxe_prepare(s, "y", [F.lit(1.0)], ["e1", "e3"], correct=correct)[1]) == left
+    normal, _ = association.gxe_prepare(s, "y", [F.lit(1.0)], ["e1", "e3"], normal=True)
+    z = sorted(r.y for r in normal.collect())
+    assert z[0] == pytest.approx(-z[-1]) and 1.5 < z[-1] < 2.5
+    rows = mom.adjusted(s, "y", [], [], ["e1"])
+    assert abs(rows.agg(F.sum(F.col("y") * F.col("e1"))).first()[0]) < 1e-9
+
+
 def _simulated(spark, **more):
     s = simulate.trait(**more)
     features = spark.createDataFrame([(j, d.tolist()) for j, d in enumerate(s["dosage"])], "snp_idx long, dosage array<double>")
-    return s, features, scan.Null(s["y"] - s["y"].mean(), np.ones((len(s["y"]), 1)), [(np.arange(len(s["y"])), np.eye(len(s["y"])))])
+    return s, features, scan.Null(s["y"] - s["y"].mean(), np.ones((len(s["y"]), 1)), np.ones(len(s["y"])))
 
 
 def test_scan_finds_the_focused_feature_whatever_the_partitions(spark):
     s, features, null = _simulated(spark)
-    panel = scan.panel_sample(features, 150).toPandas()
+    panel = scan.panel_sample(features, 150)
     cal = scan.gxe_calibration(panel, null, s["env"])
     one = scan.scan_gxe(features.coalesce(1), null, s["env"], cal).orderBy("snp_idx").toPandas()
     many = scan.scan_gxe(features.repartition(5), null, s["env"], cal).orderBy("snp_idx").toPandas()
@@ -216,7 +323,7 @@ def test_scan_finds_the_focused_feature_whatever_the_partitions(spark):
 
 def test_exact_refit_matches_dense(spark):
     s, features, null = _simulated(spark, n=120, m=20)
-    cal = scan.gxe_calibration(features.toPandas(), null, s["env"])
+    cal = scan.gxe_calibration(features, null, s["env"])
     r = scan.scan_gxe(features.where("snp_idx = 0"), null, s["env"], cal, p_approx=1.1, exact=1.1).first()
     x = s["dosage"][0] - s["dosage"][0].mean()
     w = np.column_stack([x, x * s["env"][:, 0]])
@@ -225,9 +332,67 @@ def test_exact_refit_matches_dense(spark):
 
 
 def test_panel_too_small(spark):
-    rows = pd.DataFrame({"snp_idx": [0, 1], "dosage": [np.zeros(5), np.zeros(5)]})
+    rows = spark.createDataFrame([(0, [0.0] * 5), (1, [0.0] * 5)], "snp_idx long, dosage array<double>")
     with pytest.raises(scan.PanelTooSmall):
-        scan.main_gamma(rows, scan.Null(np.ones(5), np.ones((5, 1)), [(np.arange(5), np.eye(5))]))
+        scan.main_gamma(rows, scan.Null(np.ones(5), np.ones((5, 1)), np.ones(5)))
+
+
+def test_result_files(spark, tmp_path):
+    """Every sink, read back as text."""
+    p = str(tmp_path / "out")
+    read = lambda suffix: (tmp_path / f"out{suffix}").read_text().splitlines()
+    cells = [(i, j, float(i * 10 + j)) for i in range(12) for j in range(i + 1)]
+    g = spark.createDataFrame(cells, "i long, j long, value double").repartition(3)
+    ids = spark.createDataFrame([(i, f"s{i}") for i in range(12)], "grm_index long, iid string").repartition(3)
+    sinks.grm_ids(ids, p)
+    assert read(".id") == [f"s{i}" for i in range(12)]
+    sinks.grm_meta(64, 2.5, spark, p)
+    assert read(".N") == ["64", "2.5"]
+    sinks.grm_dense(g, p, 0.5)
+    assert np.fromfile(f"{p}.bin").tolist() == [v + 0.5 * (i == j) for i, j, v in cells]
+    for fmt, lines in ((0, 12), (1, 78), (2, 78)):
+        assert len((tmp_path / f"f{fmt}").read_text().splitlines()) == lines if sinks.grm_as(g, str(tmp_path / f"f{fmt}"), fmt, ids) else False
+    assert (tmp_path / "f1").read_text().splitlines()[2] == "2 2 11.000000" and (tmp_path / "f0").read_text().split()[1] == "10.000000"
+    sinks.grm_as(g, str(tmp_path / "f3"), 3, sparse=True)
+    assert grm_io.read_sparse(spark, str(tmp_path / "f3")).count() == 78
+    grouped = ids.withColumn("group_id", F.lit(1)).withColumn("group_size", F.lit(12))
+    sinks.groups(grouped, p)
+    assert read(".group")[0] == "1 s0 1 12" and read(".group_size") == ["12 1"]
+    with pytest.raises(KeyError):
+        grm_io.retained(grm_io.read_groups(spark, f"{p}.group", ids).where("grm_index > 0"), ids)
+    with pytest.raises(Exception, match="exists"):
+        sinks.grm_ids(ids, p)
+    fit = lmm.Fit(["G", "residual"], np.array([1.0, 2.0]), np.array([0.1, 0.2]), np.eye(2), np.ones(2), 3, 0.0, True)
+    sinks.variances(fit, spark, p)
+    assert read(".var") == ["component variance se", "G 1.0000000 0.10000000", "residual 2.0000000 0.20000000"]
+    sinks.variances(fit, spark, f"{p}2", se=False)
+    sinks.heritability(fit, spark, p)
+    assert len(read(".h2")) == 4 and len(read("2.var")[0].split()) == 2
+    sinks.gamma([("main", 0.5)], spark, p)
+    assert read(".gamma")[1] == "main 0.50000000"
+    vectors = np.eye(3)
+    sinks.eigen(np.array([3.0, 2.0, 1.0]), vectors, np.array(["a", "b", "c"]), spark, p)
+    assert read(".eigenvals") == ["3", "2", "1"] and len(read(".eigenvecs")) == 3
+    sinks.pruned(["s3", "s1"], spark, p)
+    assert read(".pruned_iid") == ["s3", "s1"]
+    scanned = spark.createDataFrame([(1, "1", "rs1", 7, "A", "C", 0.25, 10, 0.5, 0.1, 0.2, float("nan"), 0.3, 0.4)], "order long, chrom string, SNP string, base long, allele1 string, allele2 string, af double, N long, beta_main double, se_main double, p_gxe double, beta_1 double, se_1 double, p_1 double")
+    sinks.assoc(scanned, p)
+    sinks.per_environment(scanned, p)
+    assert read(".assoc")[0] == "order chrom SNP base allele1 allele2 af N beta_main se_main p_gxe"
+    assert read(".perE.assoc")[1] == "1 1 rs1 7 A C 0.25000000 10 nan 0.30000000 0.40000000"
+    sinks.moment_variances({"G": 0.5}, spark, f"{p}m")
+    assert read("m.var") == ["0.5"]
+    out = susie.Result(np.eye(2), np.eye(2), np.array([1.0, 0.0]), [[0]], [1.0], 2)
+    assert len(sinks.fine_mapping(out, spark, p)) == 5 and read(".CS") == ["1"]
+    assert sinks.part_suffix("a", 1, 5) == "a.1_5" and sinks.prefix_suffix("a.grm", ".grm") == sinks.prefix_suffix("a", ".grm") == "a.grm"
+
+
+def test_global_positions(spark):
+    rows = spark.createDataFrame([(k % 5, k) for k in range(1000)], "a long, b long").repartition(7)
+    got = sorted((r.pos, r.a, r.b, r.before) for r in numbered(rows, "a", "b", sums={"before": "b"}).collect())
+    want = sorted((k % 5, k) for k in range(1000))
+    assert [(a, b) for _, a, b, _ in got] == want and [x[0] for x in got] == list(range(1000))
+    assert [x[3] for x in got] == [0, *np.cumsum([b for _, b in want])[:-1].tolist()]
 
 
 def test_mom(spark):
@@ -243,6 +408,9 @@ def test_fine_mapping():
     y = s["y"] - s["y"].mean()
     out = susie.fit(x.T @ x, x.T @ y, float(y @ y), float(y.var()), np.corrcoef(x.T))
     assert set(np.flatnonzero(out.pip > 0.95)) == {1, 2} and [1] in out.sets and [2] in out.sets
+    again = susie.fit(x.T @ x, x.T @ y, float(y @ y), float(y.var()), np.corrcoef(x.T), samples=len(y))
+    fit = np.linalg.lstsq(x[:, [1, 2]], y, rcond=None)
+    assert set(np.flatnonzero(again.pip > 0.95)) == {1, 2} and again.sigma2 == pytest.approx(fit[1][0] / len(y), rel=0.1)
 
 
 def test_design_drops_dependent_columns(spark):
@@ -282,11 +450,11 @@ def test_queries_match_sql(spark):
     c = duckdb.connect()
     for t in os.listdir(SF):
         c.execute(f"CREATE VIEW {t.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{t}'")
-    for name in ("geno_af_missing", "geno_qc_mom", "feature_mean_impute", "ols_residual_full", "blom_quantile", "related_components", "scan_refit_2x2", "acat_weighted", "mom_product", "credible_set", "text_normalise_split", "triangle_partition"):
+    for name in ("geno_af_missing", "geno_qc_mom", "feature_mean_impute", "ols_residual_full", "blom_quantile", "related_components", "scan_refit_2x2", "acat_weighted", "mom_product", "credible_set", "text_normalise_split", "triangle_partition", "group_file", "grm_files", "bed_index_read", "bed_summary", "matrix_block", "phenotype_file", "null_weighted_forms", "assoc_table", "reml_eigen_sums", "gxe_prepared", "mom_adjusted", "reorder_by_group", "block_offsets"):
         want = c.execute(ORACLE[name])
         names, want = [d[0] for d in want.description], want.fetchall()
         cols = sorted(names)
         key = lambda rows: sorted(map(repr, rows))
         got = QUERIES[name](spark, SF).select(*cols).toArrow().to_pylist()
-        plain = lambda rows: [tuple(float(x) if isinstance(x, (int, float)) else x for x in r) for r in rows]
+        plain = lambda rows: [tuple(x + 0.0 if isinstance(x, (int, float)) else x for x in r) for r in rows]
         assert key(plain([r[c] for c in cols] for r in got)) == key(plain([r[names.index(c)] for c in cols] for r in want)), name
