@@ -3,20 +3,10 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, as in tests, a folder of our own is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="kinfold-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from pyspark.sql import SparkSession
 
+from kinfold.shared import Tables, folder  # noqa: F401
 
 #: Rows and bytes of an Arrow batch of texts; Spark's default of 10,000 rows alone can be gigabytes.
 BATCH_ROWS, BATCH_BYTES = 1_000, 8_000_000
@@ -30,32 +20,15 @@ def bounded(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-class Scratch:
+class Scratch(Tables):
     """Parquet tables of one run of an operator; ``drop`` deletes those that no later step reads."""
 
     def __init__(self, spark: SparkSession, name: str):
+        super().__init__(spark, name)
         bounded(spark)
-        self.spark, self.root, self.n = spark, f"{folder(spark)}/{name}-{uuid.uuid4().hex}", 0
-
-    def write(self, df: DataFrame) -> DataFrame:
-        """Writes ``df`` and returns the table, so that a lost executor costs no earlier step."""
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
-        schema = df.schema
-        del df
-        out = self.spark.read.schema(schema).parquet(path)
-        out._scratch = path
-        return out
 
     def sweep(self) -> None:
         """Frees the shuffle files of finished steps: Spark's cleaner does so once the driver has
         collected the objects that stand for them, which it otherwise may not do for long."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
-
-    def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

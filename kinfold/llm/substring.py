@@ -1,18 +1,25 @@
-"""Substring dedup by content-defined paths of word windows.
+"""Substring dedup on a compacted de Bruijn graph of word windows.
 
-Junctions chosen by content stand in place of the branching of a de Bruijn graph, whose node degrees
-aren't computed.  The text is cut at them, so that equal passages are cut alike, and the windows of
-WINDOW words between two junctions are compacted into one path with one 128-bit hash.  Spark joins paths on their hash: all but the first occurrence of a path are repeats,
-with every window in them, whatever their number.
+A window of WINDOW words is a k-mer; its first and last WINDOW - 1 words are nodes.  Texts are cut at
+nodes whose content says so, so that equal passages are cut alike, and the k-mers between two such
+nodes are one edge (u, v) with a 128-bit hash.  Edges that occur twice or more are the graph.  Where
+exactly one edge enters a node and one leaves it, the two are one path: Spark joins edges to the next
+ones and doubles the pointers until every edge knows the head of its nonbranching path and its offset.
 
-The earliest occurrence of any window lies in the first occurrence of its path, so only these (the
+An edge has a first occurrence; all others are repeats, with every window in them.  Repeats of a
+document that lie on one path at one distance from its head are one span if their coordinates in the
+source (doc_id, start) say that they follow each other without a gap; otherwise they stay apart.
+
+The earliest occurrence of any window lies in the first occurrence of its edge, so only these (the
 ``open`` windows) remain.  Most are unique, which their minimizer shows: two equal windows have the
 same rarest word n-gram (by hash), so a window whose n-gram occurs once is unique.  The few others
-are joined window by window.  Source coordinates (doc_id, start) decide which occurrence stays, and
-the removal covers whole runs of repeated windows.  Everything is judged on the input.
+are joined window by window.  Source coordinates decide which occurrence stays, and the removal
+covers whole runs of repeated windows.  Everything is judged on the input.
 
-Null and empty texts have no words and stay.  Of rows with one doc_id neither is earlier
-than the other; they are told apart by their text's checksum (``t``).  A null doc_id counts as the smallest.  Memory is bounded by a document.
+Null and empty texts have no words and stay.  Of rows with one doc_id neither is earlier than the
+other; they are told apart by their text's checksum (``t``).  A null doc_id counts as the smallest.
+Equal rows lose the same words.  An empty table gives no rows, and other columns pass whatever their
+names.  Memory is bounded by a document.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ from kinfold.llm import words as W
 from kinfold.llm.store import Scratch
 
 WINDOW = 20
-#: Words of the n-gram that may be a junction, and the mean length of a path.
+#: Words of the n-gram that makes a node one where texts are cut, and the mean length of an edge.
 JUNCTION_GRAM, PATH = 4, 16
 #: Words of a minimizer.
 MINIMIZER = 8
@@ -73,7 +80,7 @@ class Text:
         return at[doc[at] == doc[at + WINDOW - 1]]
 
     def paths(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First window, number of windows, and text of each compacted path."""
+        """First window, number of windows, and text of each edge."""
         at = self.windows()
         if not len(at):
             return at, at, at
@@ -107,14 +114,54 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         yield batch, Text(data, offsets), *(np.asarray(batch.column(batch.schema.get_field_index(k))) for k in ("doc_id", "t"))
 
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each edge of each text: hashes a and b of its words, its nodes u and v, and where it lies."""
     for _, text, ids, t in _texts(batches):
         first, many, doc = text.paths()
         a, b = text.spans(first, first + many - 1 + WINDOW)
-        yield pa.RecordBatch.from_arrays([_signed(a), _signed(b), pa.array(ids[doc], pa.int64()), pa.array(t[doc], pa.int32()), pa.array((first - text.ptr[doc]).astype(np.int32)), pa.array(many.astype(np.int32))], ["a", "b", "id", "t", "start", "many"])
-
-
-PATHS = "a long, b long, id long, t int, start int, many int"
+        u, v = (text.spans(at, at + WINDOW - 1)[0] for at in (first, first + many))
+        yield pa.RecordBatch.from_arrays([*map(_signed, (a, b, u, v)), pa.array(ids[doc], pa.int64()), pa.array(t[doc], pa.int32()), pa.array((first - text.ptr[doc]).astype(np.int32)), pa.array(many.astype(np.int32))], ["a", "b", "u", "v", "id", "t", "start", "many"])
+
+
+EDGES = "a long, b long, u long, v long, id long, t int, start int, many int"
+
+
+def compact(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b, ha, hb, off) of distinct edges (a, b, u, v, many): the head of the nonbranching path that
+    each lies on, and the windows between.  An edge that nothing precedes is its own head, and so are
+    those of a closed path, which has none."""
+    through = edges.groupBy(F.col("v").alias("n")).agg(F.count("*").alias("enter")).join(edges.groupBy(F.col("u").alias("n")).agg(F.count("*").alias("leave")), "n").where("enter = 1 and leave = 1").select("n")
+    left = edges.join(through, edges.v == through.n).select("n", F.struct("a", "b").alias("before"), F.col("many").alias("gap"))
+    right = edges.join(through, edges.u == through.n).select("n", "a", "b")
+    back = right.join(left, "n").where("before != struct(a, b)").select("a", "b", "before", "gap")
+    # far: the edge 2^round steps back, null beyond the head; top: the last edge seen on the way; off: windows from top
+    now = edges.select("a", "b").join(back, ["a", "b"], "left").select("a", "b", F.col("before").alias("far"), F.coalesce("before", F.struct("a", "b")).alias("top"), F.coalesce(F.col("gap").cast("long"), F.lit(0)).alias("off"))
+    now, open_ = scratch.write(now), -1
+    while (left_open := now.where("far is not null").count()) not in (0, open_):
+        open_ = left_open
+        seen = now.select(F.struct("a", "b").alias("far"), F.col("far").alias("_far"), F.col("top").alias("_top"), F.col("off").alias("_off"))
+        done, rest = now.where("far is null"), now.where("far is not null").join(seen, "far")
+        then = scratch.write(done.unionByName(rest.select("a", "b", F.col("_far").alias("far"), F.col("_top").alias("top"), (F.col("off") + F.col("_off")).alias("off"))))
+        scratch.drop(now)
+        now = then
+    closed = F.col("far").isNotNull()
+    return now.select("a", "b", F.when(closed, F.col("a")).otherwise(F.col("top.a")).alias("ha"), F.when(closed, F.col("b")).otherwise(F.col("top.b")).alias("hb"), F.when(closed, F.lit(0)).otherwise(F.col("off")).alias("off"))
+
+
+def repeated_spans(places: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, t, p: spans (start, many)) of the windows in all but the first occurrences of edges."""
+    where = F.struct("id", "start")
+    graph = places.groupBy("a", "b").agg(F.min(where).alias("first"), F.max(where).alias("last"), F.min("u").alias("u"), F.min("v").alias("v"), F.min("many").alias("many")).where("first != last")
+    graph = scratch.write(graph.select("a", "b", "u", "v", "many", "first"))
+    scratch.sweep()
+    paths = scratch.write(graph.select("a", "b", "first").join(compact(graph.select("a", "b", "u", "v", "many"), scratch), ["a", "b"]))
+    again = places.select("a", "b", "id", "t", "start", "many").join(paths, ["a", "b"]).where(where != F.col("first"))
+    end = F.col("start") + F.col("many")
+    runs = again.groupBy(F.col("id").alias("doc_id"), "t", "ha", "hb", (F.col("start") - F.col("off")).alias("diagonal")).agg(
+        F.min("start").alias("s"), F.max(end).alias("e"), F.collect_set(F.struct("start", "many")).alias("l"))
+    runs = runs.withColumn("m", F.aggregate("l", F.lit(0), lambda n, x: n + x["many"]))  # equal rows give each edge once
+    whole = F.array(F.struct(F.col("s").alias("start"), F.col("m").alias("many")))  # the coordinates leave no gap
+    return runs.select("doc_id", "t", F.when(F.col("e") - F.col("s") == F.col("m"), whole).otherwise(F.col("l")).alias("l")).groupBy("doc_id", "t").agg(F.flatten(F.collect_list("l")).alias("p"))
 
 
 def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +174,7 @@ def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _open(batch: pa.RecordBatch, text: Text) -> np.ndarray:
-    """Windows of a slice outside the repeated paths in columns path_start and path_many."""
+    """Windows of a slice outside the repeated spans in columns path_start and path_many."""
     at = text.windows()
     start, ptr = _lists(batch, "path_start")
     many, _ = _lists(batch, "path_many")
@@ -228,8 +275,8 @@ def _dedup(docs: DataFrame, whole: bool) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "substring")
     texts = docs.select(_id(docs).alias("doc_id"), (F.col("text") if whole else F.coalesce("text", F.lit(""))).alias("text"), F.struct(*(c for c in docs.columns if c != "text")).alias("_row"), (F.crc32(F.coalesce("text", F.lit(""))) - F.lit(2**31)).cast("int").alias("t"))
 
-    paths = texts.select("doc_id", "t", "text").mapInArrow(_paths, PATHS)
-    gone = _repeats(paths, scratch, "many").groupBy(F.col("id").alias("doc_id"), "t").agg(F.collect_list(F.struct("start", "many")).alias("p"))
+    places = texts.select("doc_id", "t", "text").mapInArrow(_edges, EDGES)
+    gone = scratch.write(repeated_spans(places, scratch))
     scratch.sweep()
     opened = scratch.write(texts.join(gone, ["doc_id", "t"], "left").select("doc_id", "t", "text", "_row", F.col("p.start").alias("path_start"), F.col("p.many").alias("path_many")))
     scratch.sweep()
@@ -241,7 +288,7 @@ def _dedup(docs: DataFrame, whole: bool) -> DataFrame:
     windows = scratch.write(opened.join(listed, ["doc_id", "t"]).select("doc_id", "t", "text", "path_start", "path_many", "shared").mapInArrow(_candidates, "a long, b long, id long, t int, start int"))
     scratch.sweep()
     again = scratch.write(_repeats(windows, scratch).groupBy(F.col("id").alias("doc_id"), "t").agg(F.collect_set("start").alias("window_start")))
-    scratch.drop(windows)
+    scratch.drop(windows, shared, gone)
     scratch.sweep()
     return opened.join(again, ["doc_id", "t"], "left").select("doc_id", "t", "text", "_row", "path_start", "path_many", "window_start").mapInArrow(partial(_removed, whole), StructType([opened.schema["_row"], *map(StructField, ("n_words", "n_removed", "kept"), (LongType(), LongType(), StringType()))]))
 
