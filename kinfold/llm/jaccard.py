@@ -93,9 +93,19 @@ class Rule:
             self._cuts[band] = np.array([(i << 64) // m for i in range(m)], dtype=np.uint64)
         return self._cuts[band]
 
+    def may_link(self, n: int, m: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether sets of n and m shingles can link by their bitmaps: a bit set in only one of them is
+        a shingle that the other lacks, which bounds the overlap from above."""
+        lacks = np.bitwise_count(x & ~y).sum(-1, dtype=np.int64)
+        extra = np.bitwise_count(y & ~x).sum(-1, dtype=np.int64)
+        most = np.minimum(n - lacks, m - extra)
+        return self.part * most >= self.whole * (n + m - most)
+
     def linked(self, x: np.ndarray, y: np.ndarray) -> bool:
         """Whether two sorted sets reach the threshold."""
-        both = len(x) + len(y) - len(np.union1d(x, y))
+        if len(x) > len(y):
+            x, y = y, x
+        both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
         return self.part * both >= self.whole * (len(x) + len(y) - both)
 
 
@@ -285,11 +295,7 @@ def tile_links(rule: Rule, nodes: np.ndarray, fine: np.ndarray, side: np.ndarray
         js = js[np.fromiter((find(members[j]) != own for j in js.tolist()), bool, len(js))] if len(js) else js
         if not len(js):
             continue
-        lacks = np.bitwise_count(maps[i] & ~maps[js]).sum(1, dtype=np.int64)
-        extra = np.bitwise_count(maps[js] & ~maps[i]).sum(1, dtype=np.int64)
-        most = np.minimum(size[i] - lacks, size[js] - extra)
-        may = rule.part * most >= rule.whole * (size[i] + size[js] - most)
-        for j in js[may][np.argsort(-most[may], kind="stable")].tolist():
+        for j in js[rule.may_link(size[i], size[js], maps[i], maps[js])].tolist():
             a, b = find(members[i]), find(members[j])
             if a != b and rule.linked(sets[i], sets[j]):
                 roots[a] = b
@@ -333,13 +339,15 @@ def _tiles(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def _verified(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) whose texts link."""
+    """Pairs (a, b) whose texts link: sizes and bitmaps bound the overlap, arrays decide."""
     for batch in batches:
         table = pa.Table.from_batches([batch])
         ok = []
         for i in range(0, table.num_rows, 500):
             part = table.slice(i, 500)
-            ok += [rule.linked(x, y) for x, y in zip(_sets_of(rule, part, "text_a"), _sets_of(rule, part, "text_b"), strict=True)]
+            for x, y in zip(_sets_of(rule, part, "text_a"), _sets_of(rule, part, "text_b"), strict=True):
+                small, large = sorted((len(x), len(y)))
+                ok.append(rule.part * small >= rule.whole * large and rule.may_link(len(x), len(y), *bitmaps([x, y])) and rule.linked(x, y))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
