@@ -16,7 +16,8 @@ of the corpus, so that the number of rows is in proportion to it.
 Documents go to their blocks compressed, those of one block and task together.
 
 An n-gram is known by a 64-bit hash (0 stands for none and counts as 1).  Null and empty texts have no words and a sum of 0.
-Repeated rows are counted and scored one by one.
+Repeated rows are counted and scored one by one.  An empty table gives no rows, other columns don't matter.
+Blocks go by id and checksum of the text, so rows without an id, or of one id, don't meet in one block.
 """
 
 from __future__ import annotations
@@ -134,7 +135,7 @@ def score(docs: DataFrame, *, order: int = ORDER, alpha: float = ALPHA, min_coun
     bounded(docs.sparkSession)
     size = layout(docs)
     parts, total = size.parts, max(1, size.words)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(size.blocks)).cast("int").alias("block"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id", F.crc32(F.coalesce("text", F.lit("")))), F.lit(size.blocks)).cast("int").alias("block"))
     rows = rows.mapInArrow(_dealt, "block int, rows binary")
 
     def ask(table: pa.Table) -> pa.Table:
