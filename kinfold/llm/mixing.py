@@ -12,7 +12,8 @@ hash, found in one bucket of the leaf, so texts aren't shuffled and a leaf with
 is many small sums.
 
 Null text has no tokens; null language or source counts as ''.  Rows with equal ids stand or fall
-together.  Leaves are configuration-sized (at most MAX_LEAVES, checked) and known to the driver.
+together.  An empty table gives no rows, a corpus without tokens none of its rows but those of no
+tokens; other columns don't matter.  Shares are rounded down.  Leaves are configuration-sized (at most MAX_LEAVES, checked) and known to the driver.
 """
 
 from __future__ import annotations

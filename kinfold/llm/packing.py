@@ -9,6 +9,8 @@ power of two, which needs no padding, and the excess returns to the buffer.  So
 memory is bounded, and a task that runs again gives the same result.
 
 Null text counts as empty: its only id is the closing one.  Repeated rows are packed one by one.
+A text of any length is cut into pieces; equal sizes keep the order of arrival.  An empty table gives no
+rows.  Added tokens of the vocabulary inside a text have their own ids.
 """
 
 from __future__ import annotations

@@ -4,6 +4,9 @@ score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2
 interactions cost time linear in the number of non-zero inputs.  Inputs: the words of the whole text
 hashed to buckets (square root of the count, scaled to unit norm), standardised statistics, and
 metadata that follow from the text (its size class).  Empty and null texts have only the latter.
+A long text is one slice, read whole.  Repeated rows are scored one by one, an empty table gives no rows,
+other columns don't matter.  With labels of one class the score is near that class for all texts; without
+labels all texts score alike.
 """
 
 from __future__ import annotations

@@ -2,6 +2,8 @@
 
 Scored in one pass over the text without a shuffle.  Null and empty texts have zero statistics, and
 so fail the base rules.  Repeated rows are scored alike, one result for each input row.
+A long text is one slice, read whole.  An empty table gives no rows, other columns don't matter.  With labels
+of one class, or none, the trees have nothing to split on and give every text the same verdict.
 """
 
 from __future__ import annotations
