@@ -275,22 +275,28 @@ def _dedup(docs: DataFrame, whole: bool) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "substring")
     texts = docs.select(_id(docs).alias("doc_id"), (F.col("text") if whole else F.coalesce("text", F.lit(""))).alias("text"), F.struct(*(c for c in docs.columns if c != "text")).alias("_row"), (F.crc32(F.coalesce("text", F.lit(""))) - F.lit(2**31)).cast("int").alias("t"))
 
-    places = texts.select("doc_id", "t", "text").mapInArrow(_edges, EDGES)
+    key = ["doc_id", "t"]
+    places = texts.select(*key, "text").mapInArrow(_edges, EDGES)
     gone = scratch.write(repeated_spans(places, scratch))
     scratch.sweep()
-    opened = scratch.write(texts.join(gone, ["doc_id", "t"], "left").select("doc_id", "t", "text", "_row", F.col("p.start").alias("path_start"), F.col("p.many").alias("path_many")))
-    scratch.sweep()
 
-    grams = opened.select("doc_id", "t", "text", "path_start", "path_many").mapInArrow(_minimizers, "g long, id long, t int, n int")
+    # lists of places go to the texts, which are read again from their source and never written
+    spans = [F.col("p.start").alias("path_start"), F.col("p.many").alias("path_many")]
+    grams = scratch.write(texts.select(*key, "text").join(gone, key, "left").select(*key, "text", *spans).mapInArrow(_minimizers, "g long, id long, t int, n int"))
+    scratch.sweep()
     shared = scratch.write(grams.groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g"))
     scratch.sweep()
-    listed = grams.join(shared, "g").groupBy(F.col("id").alias("doc_id"), "t").agg(F.collect_set("g").alias("shared"))
-    windows = scratch.write(opened.join(listed, ["doc_id", "t"]).select("doc_id", "t", "text", "path_start", "path_many", "shared").mapInArrow(_candidates, "a long, b long, id long, t int, start int"))
+    listed = scratch.write(grams.join(shared, "g").groupBy(F.col("id").alias("doc_id"), "t").agg(F.collect_set("g").alias("shared")).join(gone, key, "left"))
+    scratch.drop(grams, shared)
+    scratch.sweep()
+    windows = scratch.write(texts.select(*key, "text").join(listed, key).select(*key, "text", *spans, "shared").mapInArrow(_candidates, "a long, b long, id long, t int, start int"))
+    scratch.drop(listed)
     scratch.sweep()
-    again = scratch.write(_repeats(windows, scratch).groupBy(F.col("id").alias("doc_id"), "t").agg(F.collect_set("start").alias("window_start")))
-    scratch.drop(windows, shared, gone)
+    again = _repeats(windows, scratch).groupBy(F.col("id").alias("doc_id"), "t").agg(F.collect_set("start").alias("window_start"))
+    both = scratch.write(gone.join(again, key, "full").select(*key, *spans, "window_start"))
+    scratch.drop(windows, gone)
     scratch.sweep()
-    return opened.join(again, ["doc_id", "t"], "left").select("doc_id", "t", "text", "_row", "path_start", "path_many", "window_start").mapInArrow(partial(_removed, whole), StructType([opened.schema["_row"], *map(StructField, ("n_words", "n_removed", "kept"), (LongType(), LongType(), StringType()))]))
+    return texts.join(both, key, "left").select(*key, "text", "_row", "path_start", "path_many", "window_start").mapInArrow(partial(_removed, whole), StructType([texts.schema["_row"], *map(StructField, ("n_words", "n_removed", "kept"), (LongType(), LongType(), StringType()))]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
