@@ -11,7 +11,8 @@ one sorted list, cut by hash into parts, and each (block, part) is one row with
 and local counts, compressed.  A part adds up the rows of all blocks (that is the count table) and
 answers each with totals in the order of its list, so answers need no keys.  A frequent n-gram comes
 once from each block, and no n-gram is dropped.  Sizes of blocks and parts grow with the square root
-of the corpus, so that the number of rows is in proportion to it.
+of the corpus, so that the number of rows is in proportion to it, up to 32 times; beyond that memory
+bounds them and the rows grow with the square of the corpus.
 
 Documents go to their blocks compressed, those of one block and task together.
 
