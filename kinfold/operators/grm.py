@@ -1,20 +1,24 @@
 """Genetic relationship matrices by blocks of samples; entries (i, j, value) with j <= i.
 
-Features come in long form (iid, snp, x).  Samples are cut into blocks and features into chunks; a
-task holds two blocks of one chunk and multiplies them, partial sums meet in an aggregate.  Memory of
-a task is bounded by block and chunk, whatever the numbers of samples and features.
+Features come in long form (iid, snp, x).  A sample's features are packed by chunks; samples are cut
+into blocks, and a task adds up the products of two blocks chunk by chunk.  Memory of a task is bounded
+by block and chunk, whatever the numbers of samples and features, and finished entries aren't shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.operators import qc
 
-BLOCK, CHUNK = 512, 4096
+#: Samples of a block and features of a chunk.
+BLOCK, CHUNK = 512, 512
 KINDS = ("additive", "dominance_biological", "dominance_statistical")
 
 
@@ -24,7 +28,8 @@ def coded(geno: DataFrame, kind: str = "additive", code_type: int = 2, maf: floa
     code_type 1 divides by the summed variance, 2 scales each feature and divides by their number."""
     if kind not in KINDS or code_type not in (1, 2):
         raise ValueError(f"kind must be one of {KINDS}, code_type 1 or 2")
-    g = qc.with_frequencies(geno).where(qc.grm_pass(maf, missing))
+    frequent = qc.frequencies(geno).where(qc.grm_pass(maf, missing))
+    g = geno.join(frequent, "snp")
     p, d = F.col("af"), F.col("d")
     h = 2e0 * p * (1e0 - p)
     if kind == "additive":
@@ -34,46 +39,100 @@ def coded(geno: DataFrame, kind: str = "additive", code_type: int = 2, maf: floa
     else:
         x, var, unit = F.when(d == 0, -2e0 * p * p).when(d == 1, h).otherwise(-2e0 * (1e0 - p) * (1e0 - p)), h * h, h
     x = F.when(d.isNull(), 0.0).otherwise(x)
-    out = g.select("iid", "snp", (x / unit if code_type == 2 else x).alias("x"), var.alias("var"))
-    per = out.groupBy("snp").agg(F.first("var").alias("var"))
-    r = per.agg(F.sum("var").alias("s"), F.count("*").alias("n")).first()
-    return out.drop("var"), float((r.s if code_type == 1 else r.n) or 1.0)
+    r = frequent.agg(F.sum(var).alias("s"), F.count("*").alias("n")).first()
+    return g.select("iid", "snp", (x / unit if code_type == 2 else x).alias("x")), float((r.s if code_type == 1 else r.n) or 1.0)
 
 
 def feature_coded(features: DataFrame, code_type: int = 2) -> tuple[DataFrame, float]:
     """The same for real-valued features (iid, snp, v): centred by the mean, variance by mean square."""
-    m = features.groupBy("snp").agg(F.avg("v").alias("mean"))
-    x = features.join(m, "snp").withColumn("x", F.coalesce(F.col("v") - F.col("mean"), F.lit(0.0)))
-    v = x.groupBy("snp").agg(F.avg(F.col("x") * F.col("x")).alias("var")).where("var > 0")
-    r = v.agg(F.sum("var").alias("s"), F.count("*").alias("n")).first()
-    x = x.join(v, "snp").withColumn("x", F.col("x") / F.sqrt("var") if code_type == 2 else F.col("x"))
-    return x.select("iid", "snp", "x"), float((r.s if code_type == 1 else r.n) or 1.0)
-
-
-def product(coded_rows: DataFrame, scale: float = 1.0, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
-    """Sum over features of x_i x_j / scale for all pairs j <= i."""
-    x = coded_rows.select(F.floor(F.col("iid") / block).cast("long").alias("b"), F.floor(F.col("snp") / chunk).cast("long").alias("c"), "iid", "snp", "x")
-    blocks = x.select("b").distinct()
-    pairs = blocks.select(F.col("b").alias("bi")).join(blocks.select(F.col("b").alias("bj")), F.col("bj") <= F.col("bi"))
-    left = x.join(pairs, x.b == pairs.bi).select("bi", "bj", "c", "iid", "snp", "x", F.lit(0).alias("side"))
-    right = x.join(pairs, x.b == pairs.bj).select("bi", "bj", "c", "iid", "snp", "x", F.lit(1).alias("side"))
-
-    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        snp, col = np.unique(pdf.snp.to_numpy(), return_inverse=True)
-        sides = []
-        for k in (0, 1):
-            at = pdf.side.to_numpy() == k
-            ids, row = np.unique(pdf.iid.to_numpy()[at], return_inverse=True)
-            z = np.zeros((len(ids), len(snp)))
-            z[row, col[at]] = pdf.x.to_numpy()[at]
-            sides.append((ids, z))
-        (a, za), (b, zb) = sides
-        i, j = np.repeat(a, len(b)), np.tile(b, len(a))
-        keep = j <= i
-        return pd.DataFrame({"i": i[keep], "j": j[keep], "s": (za @ zb.T).ravel()[keep]})
-
-    parts = left.unionByName(right).groupBy("bi", "bj", "c").applyInPandas(multiply, "i long, j long, s double")
-    return parts.groupBy("i", "j").agg((F.sum("s") / F.lit(scale)).alias("value"))
+    m = features.groupBy("snp").agg(F.avg("v").alias("mean"), (F.var_pop("v") * F.count("v") / F.count("*")).alias("var")).where("var > 0")
+    r = m.agg(F.sum("var").alias("s"), F.count("*").alias("n")).first()
+    x = F.coalesce(F.col("v") - F.col("mean"), F.lit(0.0))
+    return features.join(m, "snp").select("iid", "snp", (x / F.sqrt("var") if code_type == 2 else x).alias("x")), float((r.s if code_type == 1 else r.n) or 1.0)
+
+
+def product(coded_rows: DataFrame, scale: float = 1.0, block: int = BLOCK, chunk: int = CHUNK, *, above: float | None = None) -> DataFrame:
+    """Sum over features of x_i x_j / scale for all pairs j <= i; with ``above`` only the entries beyond it.
+
+    A pair of blocks is one run of rows in a task, which emits finished entries.  Where there are fewer
+    pairs of blocks than cores, chunks are dealt to several tasks and their sums meet in an aggregate."""
+    spark = coded_rows.sparkSession
+    c = F.floor(F.col("snp") / chunk).cast("long")
+    r = coded_rows.select(F.floor(F.col("iid") / block).cast("long").alias("b"), c.alias("c")).agg(F.sort_array(F.collect_set("b")).alias("b"), F.min("c").alias("low"), F.max("c").alias("high")).first()
+    if not r.b:
+        return spark.createDataFrame([], "i long, j long, value double")
+    pairs, chunks = len(r.b) * (len(r.b) + 1) // 2, r.high - r.low + 1
+    slices = min(chunks, -(-spark.sparkContext.defaultParallelism // pairs))
+    packed = coded_rows.select("iid", c.alias("c"), F.struct((F.col("snp") - c * chunk).cast("int").alias("s"), F.col("x").cast("double").alias("x")).alias("z"))
+    packed = packed.groupBy("iid", "c").agg(F.collect_list("z").alias("cells")).withColumn("b", F.floor(F.col("iid") / block).cast("long"))
+    blocks = F.array(*(F.lit(b) for b in r.b))  # one number for each block of samples
+    left = F.transform(F.filter(blocks, lambda o: o <= F.col("b")), lambda o: F.struct(F.col("b").alias("bi"), o.alias("bj"), F.lit(0).alias("side")))
+    right = F.transform(F.filter(blocks, lambda o: o > F.col("b")), lambda o: F.struct(o.alias("bi"), F.col("b").alias("bj"), F.lit(1).alias("side")))
+    rows = packed.withColumn("p", F.explode(F.concat(left, right))).select("p.bi", "p.bj", "p.side", (F.col("c") % slices).alias("slice"), "c", F.col("iid").cast("long").alias("iid"), "cells")
+    rows = rows.repartition("bi", "bj", "slice").sortWithinPartitions("bi", "bj", "slice", "c", "side")
+    whole = above if slices == 1 else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _multiplied(batches, scale, block, chunk, whole)
+
+    out = rows.mapInArrow(run, "i long, j long, value double")
+    if slices > 1:
+        out = out.groupBy("i", "j").agg(F.sum("value").alias("value"))
+        return out if above is None else out.where(F.col("value") > above)
+    return out
+
+
+def _multiplied(batches: Iterator[pa.RecordBatch], scale: float, block: int, chunk: int, above: float | None) -> Iterator[pa.RecordBatch]:
+    """Entries of each pair of blocks from rows in the order of (bi, bj, slice, c, side)."""
+    key = at = None
+    total = np.zeros((block, block))
+    seen = [np.zeros(block, bool), np.zeros(block, bool)]
+    sides: list[np.ndarray | None] = [None, None]
+
+    def add() -> None:
+        nonlocal total
+        a, b = sides
+        if key[0] == key[1]:
+            b = a
+        if a is not None and b is not None:
+            total += a @ b.T
+        sides[:] = [None, None]
+
+    def finished() -> pa.RecordBatch:
+        a, b = seen if key[0] != key[1] else (seen[0], seen[0])
+        keep = a[:, None] & b[None, :]
+        if key[0] == key[1]:
+            keep = np.tril(keep)
+        value = total / scale
+        if above is not None:
+            keep &= value > above
+        i, j = np.nonzero(keep)
+        return pa.RecordBatch.from_arrays([pa.array(i + key[0] * block, pa.int64()), pa.array(j + key[1] * block, pa.int64()), pa.array(value[i, j])], ["i", "j", "value"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cells = batch.column("cells")
+        off, col, x = np.asarray(cells.offsets), np.asarray(cells.values.field("s")), np.asarray(cells.values.field("x"))
+        names = np.column_stack([np.asarray(batch.column(k)) for k in ("bi", "bj", "slice", "c", "side")])
+        iid = np.asarray(batch.column("iid"))
+        first = np.flatnonzero(np.append(True, (names[1:] != names[:-1]).any(1)))
+        for lo, hi in zip(first, np.append(first[1:], len(iid)), strict=True):
+            bi, bj, part, c, side = (int(v) for v in names[lo])
+            if at is not None and (at != c or key != (bi, bj, part)):
+                add()
+            if key is not None and key != (bi, bj, part):
+                yield finished()
+                total[:], seen[0][:], seen[1][:] = 0, False, False
+            key, at = (bi, bj, part), c
+            if sides[side] is None:
+                sides[side] = np.zeros((block, chunk))
+            place = iid[lo:hi] - block * (bj if side else bi)
+            seen[side][place] = True
+            sides[side][np.repeat(place, np.diff(off[lo : hi + 1])), col[off[lo] : off[hi]]] = x[off[lo] : off[hi]]
+    if key is not None:
+        add()
+        yield finished()
 
 
 def relationship(geno: DataFrame, kind: str = "additive", code_type: int = 2, **limits) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions import ranges, special, text
-from kinfold.operators import graph, grm, qc, table
+from kinfold.operators import graph, grm, ld, qc, table
 from kinfold.plans import association, lmm, mom, scan, susie
 from kinfold.plans.views import SQL as BASE
 from kinfold.plans.views import Views
@@ -251,9 +251,27 @@ def blom_quantile(v):
     return table.blom(v.samples, "y").select("iid", r("quantile", 8).alias("quantile"))
 
 
-@query()
+def _poly(x: str, *c: str) -> str:
+    """A polynomial in SQL, highest power first."""
+    out = c[0]
+    for k in c[1:]:
+        out = f"({out} * {x} + {k})"
+    return out
+
+
+#: Acklam's published rational approximation of the normal quantile, relative error 1.15e-9.
+_A = ("-3.969683028665376e+01", "2.209460984245205e+02", "-2.759285104469687e+02", "1.383577518672690e+02", "-3.066479806614716e+01", "2.506628277459239e+00")
+_B = ("-5.447609879822406e+01", "1.615858368580409e+02", "-1.556989798598866e+02", "6.680131188771972e+01", "-1.328068155288572e+01", "1e0")
+_C = ("-7.784894002430293e-03", "-3.223964580411365e-01", "-2.400758277161838e+00", "-2.549732539343734e+00", "4.374664141464968e+00", "2.938163982698783e+00")
+_D = ("7.784695709041462e-03", "3.224671290700398e-01", "2.445134137142996e+00", "3.754408661907416e+00", "1e0")
+_TAIL = "sqrt(-2e0 * ln(least(p, 1e0 - p)))"
+
+
+@query(f"""WITH q AS (SELECT iid, (rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2e0 - 0.375e0) / (count(*) OVER () + 0.25e0) AS p FROM samples)
+SELECT iid, round(CASE WHEN p BETWEEN 0.02425e0 AND 0.97575e0 THEN (p - 0.5e0) * {_poly("((p - 0.5e0) * (p - 0.5e0))", *_A)} / {_poly("((p - 0.5e0) * (p - 0.5e0))", *_B)}
+  ELSE sign(0.5e0 - p) * {_poly(_TAIL, *_C)} / {_poly(_TAIL, *_D)} END, 4) AS z FROM q""")
 def inverse_normal(v):
-    return table.blom(v.samples, "y").select("iid", special.norm_ppf("quantile").alias("z"))
+    return table.blom(v.samples, "y").select("iid", r(special.norm_ppf("quantile"), 4).alias("z"))
 
 
 # -- relationship -----------------------------------------------------------------------------------
@@ -303,8 +321,8 @@ _FEAT = """f0 AS (SELECT iid, snp, v - avg(v) OVER (PARTITION BY snp) AS x FROM
 fg AS (SELECT a.iid AS i, b.iid AS j, sum(a.x * b.x) / 64e0 AS value FROM f1 a JOIN f1 b ON a.snp = b.snp AND b.iid <= a.iid GROUP BY a.iid, b.iid)"""
 
 
-def _feature_grm(v) -> DataFrame:
-    return grm.product(*grm.feature_coded(v.feature))
+def _feature_grm(v, above: float | None = None) -> DataFrame:
+    return grm.product(*grm.feature_coded(v.feature), above=above)
 
 
 @query(f"WITH {_FEAT} SELECT i, j, round(value, 6) AS value FROM fg")
@@ -356,12 +374,12 @@ m AS (SELECT iid, min(root) AS root FROM r GROUP BY iid)"""
 
 @query(f"WITH {_EDGES} SELECT a, b FROM e")
 def related_edges(v):
-    return graph.edges(_feature_grm(v), CUTOFF)
+    return graph.edges(_feature_grm(v, CUTOFF), CUTOFF)
 
 
 def _groups(v, g=None):
     nodes = v.table("embeddings").select(F.col("vec_id").alias("iid"))
-    return graph.groups(nodes, graph.edges(_feature_grm(v) if g is None else g, CUTOFF))
+    return graph.groups(nodes, graph.edges(_feature_grm(v, CUTOFF) if g is None else g, CUTOFF))
 
 
 @query(f"WITH {_COMP} SELECT iid, dense_rank() OVER (ORDER BY root) AS group_id, count(*) OVER (PARTITION BY root) AS group_size FROM m")
@@ -406,7 +424,7 @@ def grm_files(v):
 @query(f"WITH {_FEAT} SELECT i, j, round(value, 6) AS value FROM fg WHERE value > {CUTOFF}e0")
 def grm_sparse_files(v):
     """The sparse binary file of entries beyond the cutoff, written and read back."""
-    return grm_io.read_sparse(v.spark, sinks.grm_sparse(_feature_grm(v).where(F.col("value") > CUTOFF), _place(v, "sparse"))).withColumn("value", r("value"))
+    return grm_io.read_sparse(v.spark, sinks.grm_sparse(_feature_grm(v, CUTOFF), _place(v, "sparse"))).withColumn("value", r("value"))
 
 
 def _place(v, name: str) -> str:
@@ -467,9 +485,11 @@ def merged_lists(v):
     return o.select("iid", table.merged(F.col("a"), F.col("b")).alias("ids"))
 
 
-@query()
+@query(f"""WITH {_EDGES}, step(n, iid, left_) AS (SELECT -1, -1::BIGINT, (SELECT list({{'a': a, 'b': b}}) FROM e)
+UNION ALL SELECT n + 1, x, [t FOR t IN left_ IF t.a <> x AND t.b <> x] FROM (SELECT n, left_, (SELECT id FROM (SELECT unnest(list_concat([t.a FOR t IN left_], [t.b FOR t IN left_])) AS id) GROUP BY id ORDER BY count(*) DESC, id LIMIT 1) AS x FROM step WHERE len(left_) > 0))
+SELECT iid, n AS step FROM step WHERE n >= 0""")
 def prune_close(v):
-    removed = graph.prune(graph.edges(_feature_grm(v), CUTOFF))
+    removed = graph.prune(graph.edges(_feature_grm(v, CUTOFF), CUTOFF))
     return v.spark.createDataFrame([(int(x), i) for i, x in enumerate(removed)], "iid long, step int")
 
 
@@ -625,6 +645,22 @@ def scan_promising(v):
     return _sums(v).where(F.greatest(*(F.col(f"u{k}") ** 2 for k in range(4))) / F.col("xx") > 3.0).select("snp")
 
 
+#: Squared correlation from which features of the tables go together.
+_R2 = 0.01
+
+
+@query(f"""WITH {_SCAN}, g AS (SELECT geno.iid, geno.snp, coalesce(d - 2e0 * af, 0e0) AS x FROM geno JOIN s USING (iid) JOIN fq USING (snp) WHERE {PASS}),
+pair AS (SELECT a.snp AS a, b.snp AS b FROM g a JOIN g b ON a.iid = b.iid AND a.snp <> b.snp JOIN u p ON p.snp = a.snp JOIN u q ON q.snp = b.snp GROUP BY a.snp, b.snp HAVING sum(a.x * b.x) * sum(a.x * b.x) / (max(p.xx) * max(q.xx)) >= {_R2}e0),
+near AS (SELECT a AS snp, list(b) AS near FROM pair GROUP BY a),
+o AS (SELECT u.snp, coalesce(near, []) AS near, row_number() OVER (ORDER BY u0 * u0 / xx DESC, u.snp) AS place FROM u LEFT JOIN near ON near.snp = u.snp),
+taken(k, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT place, CASE WHEN list_has_any(near, kept) THEN kept ELSE list_append(kept, o.snp) END FROM taken JOIN o ON o.place = k + 1)
+SELECT unnest(kept) AS snp FROM taken WHERE k = (SELECT max(k) FROM taken)""")
+def ld_leads(v):
+    """Of features that go together, those with the strongest main effect."""
+    x = _long(v).select("iid", "snp", "x")
+    return ld.leads(_sums(v).select("snp", (-(F.col("u0") ** 2) / F.col("xx")).alias("p")), ld.correlated(x, _R2)).select("snp")
+
+
 #: Fixed components of the checked forms, and V of an unrelated sample under them.
 _V = "(0.5e0 + 0.3e0 * d + 0.1e0 * d + 0.4e0)"
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kinfold import sinks
 from kinfold.functions import ranges, special, text
-from kinfold.operators import graph, grm, qc, table
+from kinfold.operators import graph, grm, ld, qc, table
 from kinfold.operators.rank import numbered
 from kinfold.plans import association, lmm, mom, scan, simulate, susie
 from kinfold.plans.queries import ORACLE, QUERIES
@@ -137,6 +137,41 @@ def test_relationship_forms_agree(spark, kind, code):
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-10) for k in a)
 
 
+def test_product_of_uneven_rows(spark):
+    """Blocks and chunks with holes, several slices, one feature a chunk, and entries beyond a bound."""
+    rng = np.random.default_rng(3)
+    cells = [(int(i), int(j), float(rng.normal())) for i in (0, 1, 4, 5, 11, 23, 24) for j in range(40) if (i + j) % 3]
+    x = spark.createDataFrame(cells, "iid long, snp long, x double")
+    want = {(r.i, r.j): r.value for r in grm.relationship_sql_form(x, 2.0).collect()}
+    for block, chunk in ((5, 7), (64, 1), (64, 64), (1, 64)):
+        got = {(r.i, r.j): r.value for r in grm.product(x, 2.0, block, chunk).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-10) for k in want)
+        some = {(r.i, r.j) for r in grm.product(x, 2.0, block, chunk, above=0.5).collect()}
+        assert some == {k for k, v in want.items() if v > 0.5} and some
+    assert grm.product(x.where("false")).count() == 0
+
+
+def test_lead_features_equal_one_by_one(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(30, 6))
+    z = base[:, rng.integers(0, 6, 25)] + 0.7 * rng.normal(size=(30, 25))
+    z[:, 7] = 0
+    z -= z.mean(0)
+    p = [None if j == 9 else float(rng.integers(1, 9)) / 100 for j in range(25)]
+    x = spark.createDataFrame([(i, j, float(z[i, j])) for i in range(30) for j in range(25)], "iid long, snp long, x double")
+    links = ld.correlated(x, 0.3, block=4, chunk=11)
+    with np.errstate(invalid="ignore"):
+        near = np.nan_to_num(np.corrcoef(z.T) ** 2) >= 0.3
+    assert {(r.a, r.b) for r in links.collect()} == {(a, b) for a in range(25) for b in range(a) if near[a, b]}
+    want = []
+    for j in sorted((j for j in range(25) if p[j] is not None and p[j] < 0.07), key=lambda j: (p[j], j)):
+        if not near[j, want].any():
+            want.append(j)
+    features = spark.createDataFrame(list(enumerate(p)), "snp long, p double")
+    assert sorted(r.snp for r in ld.leads(features, links, cutoff=0.07).collect()) == sorted(want) and len(want) < 17
+    assert ld.leads(features.where("false"), links).count() == 0
+
+
 def test_graph(spark):
     links = spark.createDataFrame([(3, 1), (7, 3), (5, 4)], "a long, b long")
     nodes = spark.range(9).select(F.col("id").alias("iid"))
@@ -450,7 +485,7 @@ def test_queries_match_sql(spark):
     c = duckdb.connect()
     for t in os.listdir(SF):
         c.execute(f"CREATE VIEW {t.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{t}'")
-    for name in ("geno_af_missing", "geno_qc_mom", "feature_mean_impute", "ols_residual_full", "blom_quantile", "related_components", "scan_refit_2x2", "acat_weighted", "mom_product", "credible_set", "text_normalise_split", "triangle_partition", "group_file", "grm_files", "bed_index_read", "bed_summary", "matrix_block", "phenotype_file", "null_weighted_forms", "assoc_table", "reml_eigen_sums", "gxe_prepared", "mom_adjusted", "reorder_by_group", "block_offsets"):
+    for name in ("geno_af_missing", "geno_qc_mom", "feature_mean_impute", "ols_residual_full", "blom_quantile", "related_components", "scan_refit_2x2", "acat_weighted", "mom_product", "credible_set", "text_normalise_split", "triangle_partition", "group_file", "grm_files", "bed_index_read", "bed_summary", "matrix_block", "inverse_normal", "prune_close", "ld_leads", "phenotype_file", "null_weighted_forms", "assoc_table", "reml_eigen_sums", "gxe_prepared", "mom_adjusted", "reorder_by_group", "block_offsets"):
         want = c.execute(ORACLE[name])
         names, want = [d[0] for d in want.description], want.fetchall()
         cols = sorted(names)
