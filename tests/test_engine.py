@@ -27,8 +27,9 @@ def test_tails():
     for q, tol in ((2, 0.02), (4, 0.01), (40, 0.001)):
         for ratio in (0.5, 1.2, 2, 4):
             assert special.mixture_tail(3 * q * ratio, [3.0] * q) == pytest.approx(special.chi2_tail(q * ratio, q), rel=tol)
-    assert special.mixture_tail(-1, [1, 2]) == 1 and special.mixture_tail(1, []) == 1 and math.isnan(special.mixture_tail(float("nan"), [1]))
+    assert special.mixture_tail(-1, [1, 2]) == 1 and special.mixture_tail(1, []) == 0 and special.mixture_tail(0, []) == 1 and math.isnan(special.mixture_tail(float("nan"), [1]))
     x = np.array([0.1, 1.0, 5.0, 50.0, 0.0, np.nan])
+    assert special.mixture_tails(x, [0.0]).tolist()[:5] == [0, 0, 0, 0, 1]
     assert np.allclose(special.mixture_tails(x, [1, 0.5, 0.2]), [special.mixture_tail(v, [1, 0.5, 0.2]) for v in x], rtol=1e-9, equal_nan=True)
 
 
