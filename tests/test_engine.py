@@ -183,6 +183,28 @@ def test_graph(spark):
     assert placed.where("block = 0").count() == 4 and placed.select("block").distinct().count() == 3
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_components_equal_union_find(spark, seed):
+    """Long chains in random order, a star, loose nodes, repeated links and loops."""
+    rng = np.random.default_rng(seed)
+    n = 200
+    order = rng.permutation(n)
+    links = [*zip(order[:80], order[1:81], strict=True), *((order[100], x) for x in order[101:150]), *(tuple(rng.choice(order[150:190], 2)) for _ in range(25)), (order[3], order[3]), (order[0], order[1])]
+    root = list(range(n))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((top(int(a)), top(int(b))))
+        root[y] = x
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in links], "a long, b long")
+    got = {r.iid: r.root for r in graph.components(spark.range(n).select(F.col("id").alias("iid")), edges).collect()}
+    assert got == {x: top(x) for x in range(n)}
+
+
 def _dense_reml(y, x, ks, var):
     v = sum(s * k for s, k in zip(var, ks, strict=True))
     vi = np.linalg.inv(v)
