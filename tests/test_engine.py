@@ -516,3 +516,47 @@ def test_queries_match_sql(spark):
         got = QUERIES[name](spark, SF).select(*cols).toArrow().to_pylist()
         plain = lambda rows: [tuple(x + 0.0 if isinstance(x, (int, float)) else x for x in r) for r in rows]
         assert key(plain([r[c] for c in cols] for r in got)) == key(plain([r[names.index(c)] for c in cols] for r in want)), name
+
+
+def test_blocks_grow_and_parts_and_groups_are_whole(spark, monkeypatch):
+    """Blocks that grew, rows of a range only, and entries within groups only, against the self-join."""
+    monkeypatch.setattr(grm, "BLOCK", 2)
+    monkeypatch.setattr(grm, "BLOCKS", 3)
+    monkeypatch.setattr(grm, "LARGEST", 8)
+    monkeypatch.setattr(grm, "ENTRIES", 16)
+    rng = np.random.default_rng(4)
+    n = 31
+    cells = [(int(i), int(j), float(rng.normal())) for i in rng.permutation(n) for j in range(9)]
+    x = spark.createDataFrame(cells, "iid long, snp long, x double")
+    want = {(r.i, r.j): r.value for r in grm.relationship_sql_form(x, 2.0).collect()}
+    got = {(r.i, r.j): r.value for r in grm.product(x, 2.0).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-10) for k in want)
+    for first, stop in ((None, 7), (7, 19), (19, None)):
+        some = {(r.i, r.j) for r in grm.product(x, 2.0, only=(first, stop)).collect()}
+        assert some == {k for k in want if (first or 0) <= k[0] < (n if stop is None else stop)}
+    group = [0 if i % 3 else 1 + i % 4 for i in range(n)]
+    groups = spark.createDataFrame(list(enumerate(group)), "iid long, group_id long")
+    for chunk in (grm.CHUNK, 2):
+        some = {(r.group_id, r.i, r.j): r.value for r in grm.product(x, 2.0, chunk=chunk, within=groups).collect()}
+        assert some.keys() == {(group[i], i, j) for i, j in want if group[i] == group[j]}
+        assert all(some[g, i, j] == pytest.approx(want[i, j], abs=1e-10) for g, i, j in some)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_matrix_times_itself_needs_no_join(spark):
+    assert "Join" not in _plan(QUERIES["grm_epistatic"](spark, SF)).split("MapInArrow")[0]
+
+
+@pytest.mark.parametrize("name", ["grm_id_triplets", "gxe_relationship"])
+def test_entries_are_not_shuffled_for_columns_of_samples(spark, name):
+    """Names and environments go to the tasks, even where Spark wouldn't broadcast them by itself."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        above = _plan(QUERIES[name](spark, SF)).split("MapInArrow")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert above.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in above
