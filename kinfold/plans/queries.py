@@ -499,8 +499,7 @@ def prune_close(v):
 
 @query()
 def grm_pca_eigenvalues(v):
-    _, values, _ = grm.pca(_feature_grm(v))
-    return v.spark.createDataFrame([(i, float(x)) for i, x in enumerate(values)], "k int, eigenvalue double")
+    return grm.eigenvalues(_kernel(v))
 
 
 @query()
