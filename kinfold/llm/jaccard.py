@@ -17,6 +17,11 @@ one node.  Two nodes link when, by the rule of 90 %, 100 * |x & y| >= 90 * |x |
    reach the threshold and aren't connected yet are decided by intersecting the sorted arrays.
    A group beyond TILE nodes first verifies its stars; only nodes outside its largest component then
    meet all others, in tiles of bounded size.
+4. Groups beyond WIDE tiles.  Parts that many unlike sets share by chance join their groups, and the
+   more texts, the larger such a group, so its nodes don't all meet.  Two sets of a link differ in no more
+   parts of a tile than in shingles, which a byte for each part shows (``alike``).  Nodes with an equal
+   signature are compared by these bytes, those outside the largest component of a signature with the
+   others of it; the groups of what passes then take the place of the group.
 
 No pairs within a group are listed: a tile gives a spanning forest of its links.  Empty sets link
 with nothing.  Null text counts as empty; repeated rows are copies; a null doc_id never names a
@@ -26,7 +31,7 @@ component that holds another id.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property, partial
 
@@ -42,6 +47,8 @@ from kinfold.llm.store import Scratch
 
 #: Nodes on either side of a tile.
 TILE = 1024
+#: Tiles of nodes that a group may have for its nodes to meet by texts; larger ones are taken apart first.
+WIDE = 8
 #: Postings that a task gathers before it reduces them to stars.
 FLUSH = 1_500_000
 #: Texts of the sample for frequent shingles; a shingle counts as frequent in so many of its sets.
@@ -152,29 +159,37 @@ class Sets:
         self.rare_total = np.zeros(len(rare) + 1, np.uint64)
         np.cumsum(np.where(rare, self.total[1:] - self.total[:-1], _U(0)), out=self.rare_total[1:])
 
-    def postings(self, i: int) -> Iterator[np.ndarray]:
-        """Part signatures of set i in the tiles of its band and, near its lower end, the one below."""
+    def _cut(self, i: int) -> Iterator[tuple[int, np.ndarray]]:
+        """The band of set i and, near its lower end, the one below, with the bounds of its parts there."""
         size, s, rule = int(self.size[i]), self.of(i), self.rule
         low, high = rule.bands
         if size < low[0]:
             return
         own = int(np.searchsorted(low, size, side="right")) - 1
         for band in (own, own - 1):
-            if band < 0 or band < own and rule.whole * size > rule.part * int(high[band]):
-                continue
-            cuts, differ = rule.cuts(band), rule.differ(int(high[band]))
-            b = np.append(np.searchsorted(s, cuts), size) + self.ptr[i]
-            part = np.arange(len(cuts), dtype=np.uint64) + _U((2 * band + 1) << 40)
+            if band >= 0 and (band == own or rule.whole * size <= rule.part * int(high[band])):
+                yield band, np.append(np.searchsorted(s, rule.cuts(band)), size) + self.ptr[i]
+
+    def sketches(self, i: int) -> Iterator[tuple[int, bytes]]:
+        """By band, a byte of the sum of each part."""
+        for band, b in self._cut(i):
+            yield band, W.mix(self.total[b[1:]] - self.total[b[:-1]]).astype(np.uint8).tobytes()
+
+    def postings(self, i: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Part signatures of set i in the tiles of its bands."""
+        for band, b in self._cut(i):
+            differ = self.rule.differ(int(self.rule.bands[1][band]))
+            part = np.arange(len(b) - 1, dtype=np.uint64) + _U((2 * band + 1) << 40)
             full = self.rare_count[b[1:]] > self.rare_count[b[:-1]]
             sums = self.rare_total[b[1:]] - self.rare_total[b[:-1]]
-            yield W.mix(sums[full] ^ W.mix(part[full]))
+            yield band, W.mix(sums[full] ^ W.mix(part[full]))
             if np.count_nonzero(full) <= differ:  # too few rare shingles: meet the like of it by all shingles
                 part += _U(1 << 40)
                 full = b[1:] > b[:-1]
                 sums = self.total[b[1:]] - self.total[b[:-1]]
                 if np.count_nonzero(full) > differ:
                     sums, part = sums[full], part[full]
-                yield W.mix(sums ^ W.mix(part))
+                yield band, W.mix(sums ^ W.mix(part))
 
 
 def _nodes(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +235,7 @@ def _posted(rule: Rule, popular: np.ndarray, batches: Iterator[pa.RecordBatch])
         nodes = s.nodes()
         _, index = np.unique(nodes, return_index=True)
         for i in index.tolist():
-            for sig in s.postings(i):
+            for _, sig in s.postings(i):
                 held_sig.append(sig)
                 held_node.append(np.full(len(sig), nodes[i]))
                 held += len(sig)
@@ -269,38 +284,41 @@ def tile_links(rule: Rule, nodes: np.ndarray, fine: np.ndarray, side: np.ndarray
 
     Pairs are those of a row with side & 1 and one with side & 2; rows of one component aren't compared.
     """
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    nodes, fine, side, sets = nodes[order], fine[order], side[order], [sets[i] for i in order]
     size = np.array([len(s) for s in sets])
-    _, parent = np.unique(fine, return_inverse=True)
-    roots = list(range(int(parent.max()) + 1))
-    members = parent.tolist()
-
-    def find(i: int) -> int:
-        while roots[i] != i:
-            roots[i] = roots[roots[i]]
-            i = roots[i]
-        return i
-
-    maps, found, left = bitmaps(sets), [], len(roots)
-    for i in range(len(nodes)):
+    maps = bitmaps(sets)
+    may = lambda i, js: js[rule.may_link(size[i], size[js], maps[i], maps[js])]
+    return _forest(rule, nodes, fine, side, size, may, lambda i, j: rule.linked(sets[i], sets[j]))
+
+
+def alike_links(rule: Rule, nodes: np.ndarray, fine: np.ndarray, side: np.ndarray, size: np.ndarray, parts: np.ndarray) -> list[tuple[int, int]]:
+    """The same of pairs that differ in no more parts than linked sets can; parts: a row of bytes for each node."""
+    may = lambda i, js: js[(parts[js] != parts[i]).sum(1) <= rule.differ(int(size[i]))]
+    return _forest(rule, nodes, fine, side, size, may, lambda i, j: True)
+
+
+def _forest(rule: Rule, nodes: np.ndarray, fine: np.ndarray, side: np.ndarray, size: np.ndarray, may: Callable[[int, np.ndarray], np.ndarray], linked: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Of each row, by size, ``may`` picks among the larger ones that it may meet, ``linked`` decides."""
+    order = np.argsort(size, kind="stable")
+    size, side = size[order], side[order]
+    _, of = np.unique(fine[order], return_inverse=True)
+    found, left = [], int(of.max()) + 1
+    for i in range(len(order)):
         if left == 1:
             break
         far = int(np.searchsorted(size, rule.part * size[i] // rule.whole, side="right"))  # the band of sizes above row i
         if far <= i + 1:
             continue
         js = np.arange(i + 1, far)
-        js = js[((side[i] & 1) & (side[js] >> 1) | (side[i] >> 1) & (side[js] & 1)) > 0]
-        own = find(members[i])
-        js = js[np.fromiter((find(members[j]) != own for j in js.tolist()), bool, len(js))] if len(js) else js
+        js = js[(((side[i] & 1) & (side[js] >> 1) | (side[i] >> 1) & (side[js] & 1)) > 0) & (of[js] != of[i])]
         if not len(js):
             continue
-        for j in js[rule.may_link(size[i], size[js], maps[i], maps[js])].tolist():
-            a, b = find(members[i]), find(members[j])
-            if a != b and rule.linked(sets[i], sets[j]):
-                roots[a] = b
+        at = np.zeros(len(order), np.int64)
+        at[order[js]] = js
+        for j in at[may(int(order[i]), order[js])].tolist():
+            if of[i] != of[j] and linked(int(order[i]), int(order[j])):
+                of[of == of[j]] = of[i]
                 left -= 1
-                found.append((int(nodes[i]), int(nodes[j])))
+                found.append((int(nodes[order[i]]), int(nodes[order[j]])))
     return found
 
 
@@ -313,11 +331,16 @@ def _sets_of(rule: Rule, table: pa.Table, text: str = "text") -> list[np.ndarray
 
 
 def _tiles(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each tile; rows come sorted by tile (g, x, m)."""
+    """Links of each tile; rows come sorted by tile (g, x, m), with texts, or sizes and parts."""
 
     def links(rows: pa.Table) -> list[tuple[int, int]]:
         node, fine, side = (np.asarray(rows.column(k).combine_chunks()) for k in ("node", "fine", "side"))
-        return tile_links(rule, node, fine, side, _sets_of(rule, rows)) if len(node) > 1 else []
+        if len(node) < 2:
+            return []
+        if "parts" not in rows.column_names:
+            return tile_links(rule, node, fine, side, _sets_of(rule, rows))
+        parts = np.frombuffer(b"".join(rows.column("parts").to_pylist()), np.uint8).reshape(len(node), -1)
+        return alike_links(rule, node, fine, side, np.asarray(rows.column("size").combine_chunks()), parts)
 
     held: pa.Table | None = None
     for batch in batches:
@@ -351,6 +374,45 @@ def _verified(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _placed(rule: Rule, popular: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sig, node, band): the node has the signature."""
+    for _, data, offsets in W.slices(batches):
+        s = Sets(data, offsets, rule)
+        s.mark(popular)
+        found = [(sig, node, band) for i, node in enumerate(s.nodes().tolist()) for band, sig in s.postings(i)]
+        if not found:
+            continue
+        sigs, nodes, bands = zip(*found, strict=True)
+        many = [len(x) for x in sigs]
+        out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), many)), pa.array(np.repeat(np.array(bands, np.int32), many))], ["sig", "node", "band"])
+        for i in range(0, out.num_rows, 100_000):
+            yield out.slice(i, 100_000)
+
+
+def _sketched(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, band, size, parts) of each node in the tiles of its bands."""
+    for _, data, offsets in W.slices(batches):
+        s = Sets(data, offsets, rule)
+        rows = [(node, band, int(s.size[i]), parts) for i, node in enumerate(s.nodes().tolist()) for band, parts in s.sketches(i)]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["node", "band", "size", "parts"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by signature those whose signature another row has."""
+    held, before = None, False  # the last row, and whether the one before it has its signature
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+        sig = np.asarray(rows.column(0))
+        same = np.concatenate([[before and held is not None], sig[1:] == sig[:-1], [False]])
+        held, before = rows.slice(rows.num_rows - 1), bool(same[-2])
+        yield rows.slice(0, rows.num_rows - 1).filter(pa.array((same[:-1] | same[1:])[:-1]))
+    if held is not None and before:
+        yield held
+
+
 def _own(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of the nodes that are asked for."""
     for batch, data, offsets in W.slices(batches):
@@ -392,13 +454,50 @@ def popular_shingles(texts: DataFrame, rule: Rule) -> np.ndarray:
     return np.sort(np.array(got.column("v"), dtype=np.int64).view(np.uint64))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Tiles (g, x, m) in which the nodes outside the largest component ``fine`` of their g meet all others of
+    it, from (g, node, fine, more columns); a node of side 1 meets those of side 2, 3 is both."""
+    more = [c for c in rows.columns if c not in ("g", "node", "fine")]
+    sizes = rows.groupBy("g", "fine").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("g").agg(F.max(F.struct("n", "fine")).alias("top"), F.sum("n").alias("many"), F.count("*").alias("parts")).where("parts > 1")
+    rows = rows.join(main, "g").withColumn("odd", F.col("fine") != F.col("top.fine"))
+    cuts = lambda n: F.greatest(F.lit(1), F.ceil(n / TILE)).cast("int")
+    rows = rows.withColumn("gm", cuts(F.col("many"))).withColumn("gx", cuts(F.col("many") - F.col("top.n")))
+    block = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    every = rows.select("g", F.explode(F.sequence(F.lit(0), F.col("gx") - 1)).alias("x"), block(F.col("gm"), 1).alias("m"), "node", "fine", F.lit(2).alias("side"), *more)
+    odd = rows.where("odd").select("g", block(F.col("gx"), 2).alias("x"), F.explode(F.sequence(F.lit(0), F.col("gm") - 1)).alias("m"), "node", "fine", F.lit(1).alias("side"), *more)
+    return every.unionByName(odd).groupBy("g", "x", "m", "node", "fine", *more).agg(F.sum("side").cast("int").alias("side"))
+
+
+def alike(texts: DataFrame, fine: DataFrame, popular: np.ndarray, rule: Rule, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of nodes (node, text) that differ in no more parts than linked sets can; with the components
+    ``fine`` (node, fine) they connect all nodes that links connect."""
+    sketches = texts.select("text").mapInArrow(partial(_sketched, rule), "node long, band int, size long, parts binary")
+    placed = texts.select("text").mapInArrow(partial(_placed, rule, popular), "sig long, node long, band int")
+    shared = scratch.write(placed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared, "sig long, node long, band int"))
+    scratch.sweep()
+    rows = shared.join(fine, "node").select(F.col("sig").alias("g"), "node", "fine", "band").distinct()
+    tiles = _dealt(rows).join(sketches, ["node", "band"]).select("g", "x", "m", "node", "fine", "side", "size", "parts")
+    pairs = scratch.write(_in_tiles(tiles, rule).distinct())
+    scratch.sweep()
+    return pairs
+
+
+def _apart(texts: DataFrame, fine: DataFrame, popular: np.ndarray, rule: Rule, scratch: Scratch) -> DataFrame:
+    """(g, node, fine): groups of components that pairs of ``alike`` connect."""
+    a, b = (fine.select(F.col("node").alias(k), F.col("fine").alias(f"f{k}")) for k in ("a", "b"))
+    pairs = alike(texts, fine, popular, rule, scratch).join(a, "a").join(b, "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+    return fine.join(graph.components(pairs, scratch).select(F.col("node").alias("fine"), F.col("root").alias("g")), "fine").select("g", "node", "fine")
+
+
 def _in_tiles(rows: DataFrame, rule: Rule) -> DataFrame:
     return rows.repartition("g", "x", "m").sortWithinPartitions("g", "x", "m").mapInArrow(partial(_tiles, rule), "a long, b long")
 
 
 def node_links(texts: DataFrame, nodes: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """Links (a, b) of nodes that connect all nodes that links connect.  texts: doc_id, text; nodes: doc_id, node."""
-    posted = texts.select("text").mapInArrow(partial(_posted, rule, popular_shingles(texts, rule)), "sig long, a long, b long")
+    popular = popular_shingles(texts, rule)
+    posted = texts.select("text").mapInArrow(partial(_posted, rule, popular), "sig long, a long, b long")
     stars = scratch.write(posted.repartition("sig").sortWithinPartitions("sig", "a").mapInArrow(_linked, "a long, b long").distinct())
     scratch.sweep()
     groups = scratch.write(graph.components(stars, scratch).select("node", F.col("root").alias("g")))
@@ -423,19 +522,12 @@ def node_links(texts: DataFrame, nodes: DataFrame, rule: Rule, scratch: Scratch)
     star_links = scratch.write(pairs.select("a", "b", "text_a", "text_b").mapInArrow(partial(_verified, rule), "a long, b long"))
     scratch.sweep()
     fine = graph.components(star_links, scratch)
-    rows = large.select("g", "node").join(fine, "node", "left").select("g", "node", F.coalesce("root", "node").alias("fine"))
-    rows = scratch.write(rows)
-    sizes = rows.groupBy("g", "fine").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("g").agg(F.max(F.struct("n", "fine")).alias("top"), F.sum("n").alias("many"), F.count("*").alias("parts")).where("parts > 1")
-    rows = rows.join(main, "g").withColumn("odd", F.col("fine") != F.col("top.fine"))
-    cuts = lambda n: F.greatest(F.lit(1), F.ceil(n / TILE)).cast("int")
-    rows = rows.withColumn("gm", cuts(F.col("many"))).withColumn("gx", cuts(F.col("many") - F.col("top.n")))
-    block = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
-    texts_of = large.select("node", "text")
-    every = rows.select("g", F.explode(F.sequence(F.lit(0), F.col("gx") - 1)).alias("x"), block(F.col("gm"), 1).alias("m"), "node", "fine", F.lit(2).alias("side"))
-    odd = rows.where("odd").select("g", block(F.col("gx"), 2).alias("x"), F.explode(F.sequence(F.lit(0), F.col("gm") - 1)).alias("m"), "node", "fine", F.lit(1).alias("side"))
-    both = every.unionByName(odd).groupBy("g", "x", "m", "node", "fine").agg(F.sum("side").cast("int").alias("side"))
-    rest = scratch.write(_in_tiles(both.join(texts_of, "node").select("g", "x", "m", "node", "fine", "side", "text"), rule))
+    rows = scratch.write(large.select("g", "many", "node").join(fine, "node", "left").select("g", "many", "node", F.coalesce("root", "node").alias("fine")))
+    beyond = F.col("many") > WIDE * TILE
+    near = rows.where(~beyond).select("g", "node", "fine")
+    if not rows.where(beyond).isEmpty():
+        near = near.unionByName(_apart(large.where(beyond).select("node", "text"), rows.where(beyond).select("node", "fine"), popular, rule, scratch))
+    rest = scratch.write(_in_tiles(_dealt(near).join(large.select("node", "text"), "node").select("g", "x", "m", "node", "fine", "side", "text"), rule))
     return links.unionByName(star_links).unionByName(rest)
 
 

@@ -101,6 +101,29 @@ def test_jaccard_decides_rows_that_share_an_id_one_by_one(spark):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, a), (2, b), (4, c), (6, ""), (None, a)], key=repr)
 
 
+@pytest.mark.parametrize("wide", [1, 2])
+def test_jaccard_links_every_pair_of_wide_groups(spark, monkeypatch, wide):
+    monkeypatch.setattr(jaccard, "TILE", 4)
+    monkeypatch.setattr(jaccard, "WIDE", wide)
+    texts = corpus(8)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(frame(spark, texts), jaccard.Rule(5, 100, 80)).collect()}
+    assert got == classes(texts, 5, 100, 80)
+
+
+def test_jaccard_takes_groups_of_unlike_texts_apart(spark, monkeypatch):
+    """Texts that share a phrase each with the next three are one group by their stars; they don't all meet."""
+    passage = " ".join(f"p{k}" for k in range(60))
+    phrase = [" ".join(f"{i}-{k}" for k in range(3)) for i in range(103)]
+    texts = [" ".join([passage, *phrase[i : i + 4], f"u{i} v{i}"]) for i in range(100)]
+    texts += [t + " more" for t in texts[::9]]
+    monkeypatch.setattr(jaccard, "TILE", 4)
+    rows, dealt = [], jaccard._in_tiles
+    monkeypatch.setattr(jaccard, "_in_tiles", lambda tiles, rule: (rows.append(tiles.count() if "text" in tiles.columns else 0), dealt(tiles, rule))[1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(frame(spark, texts)).collect()}
+    assert got == classes(texts, 3, 100, 90)
+    assert sum(rows) < 8 * len(texts), rows
+
+
 # --- LM scoring
 
 
