@@ -622,3 +622,12 @@ def test_models_of_large_groups_equal_dense_fits(spark, monkeypatch):
         for j, one in enumerate(x):
             w = np.column_stack([one, one[:, None] * env])
             assert np.allclose(np.reshape(forms[j].m, (w.shape[1],) * 2), w.T @ vi @ w) and np.allclose(forms[j].vy, w.T @ vi @ a.y)
+
+
+def test_parts_go_as_they_are_joined(spark, tmp_path):
+    parts = tmp_path / "parts"
+    parts.mkdir()
+    for i in range(3):
+        (parts / f"part-{i:05d}").write_bytes(bytes([65 + i]) * 4)
+    sinks._joined(spark, str(parts), str(tmp_path / "one"))
+    assert (tmp_path / "one").read_bytes() == b"AAAABBBBCCCC" and not list(parts.glob("part-*"))
