@@ -13,7 +13,7 @@ from kinfold.functions import ranges, special, text
 from kinfold.operators import graph, grm, ld, qc, table
 from kinfold.operators.rank import numbered
 from kinfold.plans import association, lmm, mom, scan, simulate, susie
-from kinfold.plans.queries import ORACLE, QUERIES
+from kinfold.plans.queries import ORACLE, QUERIES, entry
 from kinfold.sources import bed
 from kinfold.sources import grm as grm_io
 from kinfold.streaming import passing_features
@@ -631,3 +631,13 @@ def test_parts_go_as_they_are_joined(spark, tmp_path):
         (parts / f"part-{i:05d}").write_bytes(bytes([65 + i]) * 4)
     sinks._joined(spark, str(parts), str(tmp_path / "one"))
     assert (tmp_path / "one").read_bytes() == b"AAAABBBBCCCC" and not list(parts.glob("part-*"))
+
+
+def test_entries_are_rounded_half_away_from_zero(spark):
+    given = [0.0078125, -0.0078125, 1.0000005, -1.0000015, -1e-9, 0.4999999, 123456.7890125, 3e13, float("inf"), None]
+    rows = spark.createDataFrame([(x,) for x in given], "value double")
+    got = [(r.value, r.want) for r in rows.select(entry(), F.round("value", 6).alias("want")).collect()]
+    assert [a for a, _ in got] == [b for _, b in got] and math.copysign(1, got[4][0]) == 1
+    assert math.isnan(spark.createDataFrame([(math.nan,)], "value double").select(entry()).first()[0])
+    for name in ("grm_additive_t1", "grm_dom_bio"):
+        assert "round(" not in _plan(QUERIES[name](spark, SF)), name
