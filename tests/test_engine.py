@@ -641,3 +641,39 @@ def test_entries_are_rounded_half_away_from_zero(spark):
     assert math.isnan(spark.createDataFrame([(math.nan,)], "value double").select(entry()).first()[0])
     for name in ("grm_additive_t1", "grm_dom_bio", "grm_diag_jitter", "grm_epistatic"):
         assert "round(" not in _plan(QUERIES[name](spark, SF)), name
+
+
+def test_entries_of_large_blocks_come_by_value(spark, monkeypatch):
+    """The same entries, equal ones side by side, also where samples are missing and ids leave holes."""
+    rng = np.random.default_rng(3)
+    ids = np.sort(rng.choice(70, 50, replace=False))
+    d = rng.integers(0, 3, (50, 7)) - 1.0
+    rows = spark.createDataFrame([(int(i), k, float(x)) for i, v in zip(ids, d, strict=True) for k, x in enumerate(v)], "iid long, snp long, x double")
+    monkeypatch.setattr(grm, "WORTH", 1 << 8)
+    want = {(int(ids[a]), int(ids[b])): d[a] @ d[b] / 4 for a in range(50) for b in range(a + 1)}
+    got = [(r.i // 32, r.j // 32, r.i, r.j, r.value) for r in grm.product(rows, 4.0, 32, by_value=True).collect()]
+    assert len(got) == len(want) and {(i, j): x for _, _, i, j, x in got} == want
+    for pair in {x[:2] for x in got}:
+        values = [x[4] for x in got if x[:2] == pair]
+        assert values == sorted(values)
+    assert [(r.i, r.j) for r in grm.product(rows, 4.0, 32, above=0.5, by_value=True).collect() if r.value <= 0.5] == []
+
+
+def test_places_by_value():
+    """Each place that is kept comes once, in order by ranges; equal values in bulk come in parts."""
+    rng = np.random.default_rng(4)
+    odd = np.array([np.nan, np.inf, -np.inf, 0.0, -0.0, 1.0])
+    for value in (rng.standard_normal(5000), rng.choice(odd, 5000), np.full(5000, np.nan), np.ones(5000), rng.integers(0, 3, 5000) * 1.0, np.zeros(0), np.ones(3)):
+        keep = rng.random(len(value)) < 0.7
+        got = list(grm._by_value(value, keep, 300))
+        assert sorted(np.concatenate([*got, np.zeros(0, int)])) == list(np.flatnonzero(keep)) and all(len(x) <= 900 for x in got)
+        assert all(np.array_equal(value[x], np.sort(value[x]), equal_nan=True) for x in got)
+    value = rng.standard_normal(5000)
+    assert np.array_equal(value[np.concatenate(list(grm._by_value(value, value < 9, 300)))], np.sort(value))
+
+
+def test_results_of_whole_matrices_come_by_value(spark, monkeypatch):
+    monkeypatch.setattr(grm, "WORTH", 1)
+    values = [r.value for r in QUERIES["grm_additive_t1"](spark, SF).collect()]
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    assert len(values) == n * (n + 1) // 2 and values == sorted(values)
