@@ -677,3 +677,14 @@ def test_results_of_whole_matrices_come_by_value(spark, monkeypatch):
     values = [r.value for r in QUERIES["grm_additive_t1"](spark, SF).collect()]
     n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
     assert len(values) == n * (n + 1) // 2 and values == sorted(values)
+
+
+@pytest.mark.parametrize("name", ["grm_feature"])
+def test_results_of_feature_matrices_come_by_value(spark, monkeypatch, name):
+    """Runs of rising values are a few (parts of a merge, squares that fall and rise, a shifted diagonal), not one for each row."""
+    monkeypatch.setattr(grm, "WORTH", 1)
+    values = np.array([r.value for r in QUERIES[name](spark, SF).collect()])
+    few = len(values) // 20 if name == "within_group_grm" else 8
+    falls = (np.diff(values) < 0).sum() if name != "grm_epistatic" else (np.diff(np.sign(np.diff(values[np.append(True, np.diff(values) != 0)]))) != 0).sum()
+    diagonal = len(set(spark.read.parquet(f"{SF}/embeddings.parquet").toPandas().vec_id)) if name == "grm_diag_jitter" else 0
+    assert len(values) > 100 and falls <= few + diagonal
