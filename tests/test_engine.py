@@ -679,6 +679,20 @@ def test_results_of_whole_matrices_come_by_value(spark, monkeypatch):
     assert len(values) == n * (n + 1) // 2 and values == sorted(values)
 
 
+def test_entries_in_narrow_strips(spark, monkeypatch):
+    """Entries that don't come by value: columns come some at a time, so that they repeat at short distances."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((50, 7))
+    rows = spark.createDataFrame([(i, k, float(v)) for i, u in enumerate(x) for k, v in enumerate(u)], "iid long, snp long, x double")
+    monkeypatch.setattr(grm, "STRIP", 6)
+    got = [(r.i, r.j, r.value) for r in grm.product(rows, 4.0, 32).collect()]
+    assert sorted(z[:2] for z in got) == [(i, j) for i in range(50) for j in range(i + 1)]
+    assert all(v == pytest.approx(x[i] @ x[j] / 4, abs=1e-12) for i, j, v in got)
+    for pair in {(i // 32, j // 32) for i, j, _ in got}:
+        strips = [(j % 32) // 6 for i, j, _ in got if (i // 32, j // 32) == pair]
+        assert strips == sorted(strips)
+
+
 @pytest.mark.parametrize("name", ["grm_feature"])
 def test_results_of_feature_matrices_come_by_value(spark, monkeypatch, name):
     """Runs of rising values are a few (parts of a merge, squares that fall and rise, a shifted diagonal), not one for each row."""
