@@ -693,7 +693,7 @@ def test_entries_in_narrow_strips(spark, monkeypatch):
         assert strips == sorted(strips)
 
 
-@pytest.mark.parametrize("name", ["grm_feature", "grm_merge", "within_group_grm", "grm_diag_jitter", "grm_epistatic", "grm_id_triplets"])
+@pytest.mark.parametrize("name", ["grm_feature", "grm_merge", "within_group_grm", "grm_diag_jitter", "grm_epistatic", "grm_id_triplets", "grm_reformat_triplet"])
 def test_results_of_feature_matrices_come_by_value(spark, monkeypatch, name):
     """Runs of rising values are a few (parts of a merge, squares that fall and rise, a shifted diagonal), not one for each row."""
     monkeypatch.setattr(grm, "WORTH", 1)
